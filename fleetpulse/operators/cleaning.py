@@ -68,11 +68,12 @@ def dedupe_events(df: DataFrame, watermark: str | None = None) -> DataFrame:
 def incidents(df: DataFrame) -> DataFrame:
     """Distinct incidents with a known start."""
     columns = ["machine_id", "gt_incident_id", "gt_failure_type", "gt_failure_start_ts"]
-    return (
-        df.select(columns)
-        .dropna(subset=["machine_id", "gt_incident_id", "gt_failure_start_ts"])
-        .distinct()
+    known = (
+        F.col("machine_id").isNotNull()
+        & F.col("gt_incident_id").isNotNull()
+        & F.col("gt_failure_start_ts").isNotNull()
     )
+    return df.where(known).select(columns).distinct()
 
 
 def latest_by_key(

@@ -90,7 +90,12 @@ def apply_minmax(
     kind = "float" if saved else "double"
     looked_up = F.map_from_entries(
         F.collect_list(
-            F.struct("feature", F.struct(F.col("scale").cast(kind), F.col("min").cast(kind).alias("min")))
+            F.struct(
+                "feature",
+                F.struct(
+                    F.col("scale").cast(kind).alias("scale"), F.col("min").cast(kind).alias("min")
+                ),
+            )
         )
     )
     table = params.agg(looked_up.alias("_params")).scalar()
