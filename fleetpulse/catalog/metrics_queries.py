@@ -10,7 +10,6 @@ from fleetpulse.catalog.registry import query
 from fleetpulse.catalog.views import metrics_text
 from fleetpulse.config import METRIC_COLUMNS
 from fleetpulse.functions.parsing import (
-    DAY_FIRST_FORMATS,
     machine_key,
     parse_ts,
     to_number,
@@ -91,7 +90,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     return metrics_text(spark, sf_dir).select(
         F.col("timestamp").alias("written"),
-        parse_ts("timestamp", DAY_FIRST_FORMATS, epoch_first=False).alias("read_at"),
+        parse_ts("timestamp", day_first=True, epoch_first=False).alias("read_at"),
     )
 
 
@@ -146,7 +145,7 @@ def _(spark, sf_dir):
 @query("d19_median_fill", f"timestamp:us machine {_NUMBERS}", "explored")
 @query("j4_filled_by_machine", "timestamp:us machine read:4 cpu_usage:4", "explored")
 def _(spark, sf_dir):
-    return impute_medians(typed_metrics(metrics_text(spark, sf_dir)))
+    return impute_medians(stage(typed_metrics(metrics_text(spark, sf_dir)), "typed"))
 
 
 # ---- exploration
@@ -231,8 +230,8 @@ def _(spark, sf_dir):
 
 @query(
     "d14_cpu_density",
-    "machine point:i at:6 density:8",
-    """SELECT machine, point, lo + point * (hi - lo) / 99 AS at,
+    "machine point:i x:6 density:8",
+    """SELECT machine, point, lo + point * (hi - lo) / 99 AS x,
          sum(exp(-0.5 * pow((lo + point * (hi - lo) / 99 - cpu_usage) / h, 2))) / (max(n) * max(h) * sqrt(2 * pi())) AS density
        FROM explored JOIN (SELECT machine, min(cpu_usage) AS lo, max(cpu_usage) AS hi, count(cpu_usage) AS n,
                              stddev_samp(cpu_usage) * pow(count(cpu_usage), -0.2) AS h

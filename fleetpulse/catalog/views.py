@@ -22,8 +22,8 @@ SPARK = {
     "EPOCH": "unix_seconds(CAST(ts AS TIMESTAMP))",
     "K": "CAST(get_json_object(props, '$.k') AS INT)",
     "DIV": "div",
-    "LOG_TEXT": "date_format(timestamp_seconds(at), 'dd-MM-yy HH:mm:ss')",
-    "DAY_TEXT": "date_format(timestamp_seconds(at), 'dd/MM/yyyy HH:mm:ss')",
+    "LOG_TEXT": "date_format(timestamp_seconds(epoch_at), 'dd-MM-yy HH:mm:ss')",
+    "DAY_TEXT": "date_format(timestamp_seconds(epoch_at), 'dd/MM/yyyy HH:mm:ss')",
 }
 DUCK = {
     "STR": "VARCHAR",
@@ -31,8 +31,8 @@ DUCK = {
     "EPOCH": "CAST(epoch_us(ts) // 1000000 AS BIGINT)",
     "K": "CAST(json_extract_string(props, '$.k') AS INT)",
     "DIV": "//",
-    "LOG_TEXT": "strftime(make_timestamp(at * 1000000), '%d-%m-%y %H:%M:%S')",
-    "DAY_TEXT": "strftime(make_timestamp(at * 1000000), '%d/%m/%Y %H:%M:%S')",
+    "LOG_TEXT": "strftime(make_timestamp(epoch_at * 1000000), '%d-%m-%y %H:%M:%S')",
+    "DAY_TEXT": "strftime(make_timestamp(epoch_at * 1000000), '%d/%m/%Y %H:%M:%S')",
 }
 
 _TELEMETRY = """
@@ -73,7 +73,7 @@ FROM (
 # Time runs faster per machine, so that machines span from under one to over four days.
 _METRICS = """
 SELECT CASE WHEN event_id % 53 = 0 THEN 'n/a' WHEN event_id % 5 = 1 THEN {DAY_TEXT}
-            WHEN event_id % 2 = 0 THEN {LOG_TEXT} ELSE CAST(at AS {STR}) END AS timestamp,
+            WHEN event_id % 2 = 0 THEN {LOG_TEXT} ELSE CAST(epoch_at AS {STR}) END AS timestamp,
   CASE WHEN event_id % 61 = 0 THEN NULL WHEN event_id % 67 = 0 THEN '  '
        ELSE concat(' m', CAST(user_id AS {STR})) END AS machine,
   CASE WHEN event_id % 37 = 0 THEN 'bad' ELSE CAST(k AS {STR}) END AS cpu_usage,
@@ -87,7 +87,7 @@ FROM (
   SELECT event_id, user_id, {K} AS k,
     CASE WHEN event_id % 43 = 0 THEN 1704067200 ELSE 1735689600 END
       + ({EPOCH} - 1704067200) {DIV} CASE user_id % 5 WHEN 0 THEN 30 WHEN 1 THEN 20 WHEN 2 THEN 12
-                                               WHEN 3 THEN 9 ELSE 7 END AS at
+                                               WHEN 3 THEN 9 ELSE 7 END AS epoch_at
   FROM {events}
 ) e
 """

@@ -2,40 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accepted text forms of a metrics timestamp, day first; the first one is
-# the logger's own format, the rest are the fall-backs of the exploratory loader.
-LOG_FORMAT = "dd-MM-yy HH:mm:ss"
-DAY_FIRST_FORMATS = (
-    LOG_FORMAT,
-    "dd-MM-yyyy HH:mm:ss",
-    "dd/MM/yyyy HH:mm:ss",
-    "dd/MM/yy HH:mm:ss",
-    "dd-MM-yyyy HH:mm",
-    "dd/MM/yyyy HH:mm",
-    "dd-MM-yyyy",
-    "dd/MM/yyyy",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ssXXX",
-    "yyyy-MM-dd",
-)
-
-
-def parse_ts(
-    text: str | Column, formats: Sequence[str] = (LOG_FORMAT,), epoch_first: bool = True
-) -> Column:
-    """Timestamp from epoch seconds (optional, tried first) or the first matching format."""
+# Accepted text forms of a metrics timestamp. The logger writes
+# day-month-year with two-digit years; the exploratory loader also takes four-digit
+# years, slashes, missing seconds or times, and ISO order.
+LOG_SHAPE = r"^\d{1,2}-\d{1,2}-\d{2} \d{1,2}:\d{1,2}:\d{1,2}$"
+DAY_FIRST_SHAPE = r"^\d{1,2}-\d{1,2}-(\d{2}|\d{4})( \d{1,2}:\d{1,2}(:\d{1,2})?)?$"
+ISO_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]|$)"
+DAY_FIRST_FORMAT = "d-M-yyyy[ H:m[:s]]"
+
+
+def _four_digit_year(text: Column) -> Column:
+    """Two-digit years from 69 on belong to the last century."""
+    last_century = F.regexp_replace(text, r"^(\d{1,2}-\d{1,2}-)(69|[7-9]\d)(?=\D|$)", "$119$2")
+    return F.regexp_replace(last_century, r"^(\d{1,2}-\d{1,2}-)(\d{2})(?=\D|$)", "$120$2")
+
+
+def parse_ts(text: str | Column, day_first: bool = False, epoch_first: bool = True) -> Column:
+    """Timestamp from epoch seconds (optional, tried first) or from the logger's format;
+    with ``day_first`` from its relatives and ISO text too.
+
+    The shape of the text decides whether parsing is worth trying: a failed parse costs
+    far more than a pattern match.
+    """
     column = F.trim(F.col(text) if isinstance(text, str) else text)
-    tries = [F.try_to_timestamp(column, F.lit(form)) for form in formats]
+    chain = F
     if epoch_first:
-        micros = F.round(column.try_cast("double") * 1e6).try_cast("bigint")
-        tries.insert(0, F.timestamp_micros(micros))
-    return F.coalesce(*tries)
+        seconds = column.try_cast("double")
+        micros = F.round(seconds * 1e6).try_cast("bigint")
+        chain = chain.when(seconds.isNotNull(), F.timestamp_micros(micros))
+    dashed = F.translate(column, "/", "-") if day_first else column
+    chain = chain.when(
+        dashed.rlike(DAY_FIRST_SHAPE if day_first else LOG_SHAPE),
+        F.try_to_timestamp(_four_digit_year(dashed), F.lit(DAY_FIRST_FORMAT)),
+    )
+    if day_first:
+        chain = chain.when(column.rlike(ISO_SHAPE), column.try_cast("timestamp"))
+    return chain.otherwise(F.lit(None).cast("timestamp"))
 
 
 def no_nan(number: str | Column) -> Column:

@@ -5,19 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetpulse.config import METRIC_COLUMNS
 from fleetpulse.functions.parsing import (
-    DAY_FIRST_FORMATS,
-    LOG_FORMAT,
     machine_key,
     parse_ts,
     to_number,
 )
-from fleetpulse.operators.ordered import exact_quantiles
+from fleetpulse.operators.ordered import counted_quantiles
 from fleetpulse.schemas import RAW_COLUMNS
+from fleetpulse.session import stage
 
 
 def check_events(
@@ -92,7 +90,7 @@ def latest_by_key(
 def clean_metrics(df: DataFrame, min_year: int = 2025) -> DataFrame:
     """Rows fit for anomaly detection: time and machine known, recent, every metric numeric."""
     typed = df.withColumns(
-        {"timestamp": parse_ts("timestamp", (LOG_FORMAT,), epoch_first=True)}
+        {"timestamp": parse_ts("timestamp")}
         | {c: to_number(c) for c in METRIC_COLUMNS}
     )
     return (
@@ -106,7 +104,7 @@ def typed_metrics(df: DataFrame) -> DataFrame:
     """Rows for exploration: keys normalised, text coerced, rows without a time dropped."""
     return df.withColumns(
         {
-            "timestamp": parse_ts("timestamp", DAY_FIRST_FORMATS, epoch_first=False),
+            "timestamp": parse_ts("timestamp", day_first=True, epoch_first=False),
             "machine": machine_key("machine"),
         }
         | {c: to_number(c) for c in METRIC_COLUMNS}
@@ -118,35 +116,49 @@ def impute_medians(
 ) -> DataFrame:
     """Fill nulls with the key's median, then with the median of the filled column.
 
-    All columns share one pass per step: values are unpivoted to (metric, value) and
-    counted before anything is shuffled.
+    One pass counts the values of all columns per key, nulls included. Both medians
+    follow from these counts: filling a key's nulls adds its null count to its median.
+    The second and last pass fills.
     """
-
-    def tall(frame: DataFrame) -> DataFrame:
-        pairs = F.array(*[F.struct(F.lit(c).alias("_metric"), F.col(c).alias("_x")) for c in cols])
-        return frame.select(key, F.inline(pairs))
+    pairs = F.array(*[F.struct(F.lit(c).alias("_metric"), F.col(c).alias("_x")) for c in cols])
+    counts = stage(
+        df.select(key, F.inline(pairs))
+        .groupBy(key, "_metric", "_x")
+        .agg(F.count(F.lit(1)).alias("_n")),
+        "value-counts",
+    )
+    per_key = stage(
+        counted_quantiles(counts, [key, "_metric"], "_x", "_n", {"_m": 0.5}), "medians"
+    )
+    filled_counts = (
+        counts.join(per_key, [key, "_metric"], "left")
+        .groupBy("_metric", F.coalesce("_x", "_m").alias("_x"))
+        .agg(F.sum("_n").alias("_n"))
+    )
+    overall = counted_quantiles(stage(filled_counts, "filled-counts"), ["_metric"], "_x", "_n", {"_m": 0.5})
 
     def wide(medians: DataFrame, keys: list[str]) -> DataFrame:
         return medians.groupBy(*keys).agg(
             *[F.max(F.when(F.col("_metric") == c, F.col("_m"))).alias(f"_m_{c}") for c in cols]
         )
 
-    per_key = wide(exact_quantiles(tall(df), [key, "_metric"], "_x", {"_m": 0.5}), [key])
-    filled = df.join(per_key, key, "left").select(
-        *[F.coalesce(c, f"_m_{c}").alias(c) if c in cols else F.col(c) for c in df.columns]
-    )
-    overall = wide(exact_quantiles(tall(filled), ["_metric"], "_x", {"_m": 0.5}), [])
-    row = overall.select(F.struct("*").alias("_row")).scalar()
+    row = wide(overall, []).select(F.struct("*").alias("_row")).scalar()
+    fills = {c: F.coalesce(c, f"_m_{c}", f"_row._m_{c}") for c in cols}
     return (
-        filled.withColumn("_row", row)
-        .withColumns({c: F.coalesce(c, f"_row._m_{c}") for c in cols})
-        .drop("_row")
+        df.join(wide(per_key, [key]), key, "left")
+        .withColumn("_row", row)
+        .withColumns(fills)
+        .select(*df.columns)
     )
 
 
 def explore_metrics(df: DataFrame) -> DataFrame:
-    """The full preparation for exploration: typed, imputed, rows without any metric dropped."""
-    return impute_medians(typed_metrics(df)).dropna("all", subset=METRIC_COLUMNS)
+    """The full preparation for exploration: typed, imputed, rows without any metric dropped.
+
+    The typed rows are written once: text is parsed in a single pass over the input.
+    """
+    typed = stage(typed_metrics(df), "typed-metrics")
+    return impute_medians(typed).dropna("all", subset=METRIC_COLUMNS)
 
 
 def require_rows(df: DataFrame, time: str = "timestamp") -> DataFrame:

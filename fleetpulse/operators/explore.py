@@ -146,14 +146,14 @@ def violin_density(
         .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
         .groupBy(key, "point")
         .agg(
-            F.first(at).alias("at"),
+            F.first(at).alias("x"),
             F.sum(kernel).alias("_mass"),
             F.first(F.col("_total") * F.col("_h")).alias("_scale"),
         )
         .select(
             key,
             "point",
-            "at",
+            "x",
             (F.col("_mass") / (F.col("_scale") * F.sqrt(F.lit(2.0) * F.pi()))).alias("density"),
         )
     )

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetpulse.config import METRIC_COLUMNS
 from fleetpulse.functions.parsing import bucket_start
 from fleetpulse.operators.ordered import running_sums
+from fleetpulse.session import stage
 
 
 def load_profile(raw: DataFrame, clean: DataFrame) -> DataFrame:
@@ -37,24 +38,35 @@ def machine_spans(clean: DataFrame) -> DataFrame:
     )
 
 
-def span_filter(clean: DataFrame, max_days: int = 2) -> DataFrame:
+def _whole_days(first: str, last: str) -> Column:
+    return F.floor((F.unix_micros(last) - F.unix_micros(first)) / F.lit(86_400_000_000))
+
+
+def span_filter(
+    df: DataFrame, max_days: int = 2, first: str = "timestamp", last: str = "timestamp"
+) -> DataFrame:
     """Keep machines whose first-to-last span has at most ``max_days`` whole days."""
-    span = F.unix_micros("hi") - F.unix_micros("lo")
-    whole_days = F.floor(span / F.lit(86_400_000_000))
     short = (
-        clean.groupBy("machine")
-        .agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))
-        .where(whole_days <= max_days)
+        df.groupBy("machine")
+        .agg(F.min(first).alias("lo"), F.max(last).alias("hi"))
+        .where(_whole_days("lo", "hi") <= max_days)
         .select("machine")
     )
-    return clean.join(short, "machine", "left_semi")
+    return df.join(short, "machine", "left_semi")
 
 
 def minute_means(clean: DataFrame, cols: Sequence[str] = METRIC_COLUMNS) -> DataFrame:
-    """Mean of every metric per machine and minute; minutes without data do not appear."""
+    """Mean of every metric per machine and minute; minutes without data do not appear.
+
+    Also keeps the first and last time seen in each minute.
+    """
     return (
         clean.groupBy("machine", bucket_start("timestamp", 60).alias("minute"))
-        .agg(*[F.avg(c).alias(c) for c in cols])
+        .agg(
+            *[F.avg(c).alias(c) for c in cols],
+            F.min("timestamp").alias("first_log"),
+            F.max("timestamp").alias("last_log"),
+        )
         .dropna("any", subset=list(cols))
     )
 
@@ -91,10 +103,13 @@ def metric_sequences(
 ) -> DataFrame:
     """Scaled ``steps``-minute frames per machine, all but the last full one.
 
+    The cleaned rows are read once: spans and bounds come from the written minutes.
     The span filter bounds a machine to under ``max_days + 1`` days, hence at most
     1,440 x (max_days + 1) minutes, so a window over the whole machine stays small.
     """
-    scaled = scaled_minutes(minute_means(span_filter(clean, max_days), cols), steps, cols)
+    minutes = stage(minute_means(clean, cols), "minutes")
+    short = span_filter(minutes, max_days, "first_log", "last_log")
+    scaled = scaled_minutes(short, steps, cols)
     in_time = W.partitionBy("machine").orderBy("minute")
     frame = in_time.rowsBetween(-(steps - 1), 0)
     return (
@@ -119,7 +134,7 @@ def positional_split(frames: DataFrame, test_share: float = 0.2) -> DataFrame:
     Positions come from per-machine counts; the rows themselves are not sorted.
     """
     counts = frames.groupBy("machine").agg(F.count(F.lit(1)).alias("n"))
-    placed = running_sums(counts, [], ["machine"], ["n"]).select(
+    placed = running_sums(stage(counts, "frame-counts"), [], ["machine"], ["n"]).select(
         "machine",
         (F.col("cum_n") - F.col("n")).alias("_offset"),
         F.col("total_n").alias("_total"),

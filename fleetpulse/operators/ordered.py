@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fleetpulse.session import stage
+
 SLICE_ROWS = 4096
 _SLICE = "_slice"
 _HOME = "_home"
@@ -140,9 +142,11 @@ def value_ranges(df: DataFrame, unique: Sequence[str], order: Sequence[str]) ->
         .agg(F.sort_array(F.collect_list("_probe")).alias("_cuts"))
         .select(F.filter("_cuts", lambda _, i: i % oversample == oversample - 1).alias("_cuts"))
     )
+    number = F.size(F.filter("_cuts", lambda cut: cut <= probe))
+    # Never null, so that no null check on it is inferred and pushed below an aggregate.
     return (
         df.withColumn("_cuts", cuts.scalar())
-        .withColumn(_RANGE, F.size(F.filter("_cuts", lambda cut: cut <= probe)))
+        .withColumn(_RANGE, F.coalesce(number, F.lit(0)))
         .drop("_cuts")
     )
 
@@ -152,7 +156,8 @@ def running_sums(
 ) -> DataFrame:
     """Inclusive running sums and grand totals of ``sums`` per key in ``order``.
 
-    ``df`` must be unique on ``keys + order`` (pre-aggregate first). Each value range
+    ``df`` must be unique on ``keys + order`` (pre-aggregate first) and is read three
+    times, so pass a written table when it is the result of heavy work. Each value range
     is summed on its own and shifted by the totals of the ranges before it, so neither
     a dominant key nor the un-keyed case needs a single-task sort. Adds ``cum_<c>`` and
     ``total_<c>`` for every summed column.
@@ -183,15 +188,25 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated exact quantiles of ``value`` per key, one column per name.
 
-    Values are counted map-side first, ranked with :func:`running_sums`, and each
-    quantile is then a pair of conditional minima, which combine map-side too.
+    Equal values are counted map-side before anything is shuffled. The counts are
+    written, so that the input is read once.
+    """
+    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    return counted_quantiles(stage(counted, "value-counts"), keys, value, "_n", probs)
+
+
+def counted_quantiles(
+    counted: DataFrame, keys: Sequence[str], value: str, count: str, probs: dict[str, float]
+) -> DataFrame:
+    """The same from distinct values and their counts; null values are left out.
+
+    Values are ranked with :func:`running_sums`; each quantile is then a pair of
+    conditional minima, which combine map-side.
     """
-    counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+    present = counted.where(F.col(value).isNotNull()).select(
+        *keys, F.col(value).alias("_value"), F.col(count).alias("_n")
     )
-    ranked = running_sums(counted, keys, ["_value"], ["_n"])
+    ranked = running_sums(present, keys, ["_value"], ["_n"])
 
     def place(prob: float) -> Column:
         return (F.col("total__n") - 1) * F.lit(float(prob))

@@ -47,17 +47,14 @@ def run_anomaly_detection(raw: DataFrame, k: int = 16, q: float = 0.99) -> Anoma
     frames = stage(positional_split(metric_sequences(clean_metrics(raw))), "metric-frames")
     if frames.isEmpty():
         raise ValueError("No sequences were built: too little data per machine.")
-    train = frames.where(F.col("split") == "train")
-    fitted = anomaly.fit_reconstruction(train, k)
-    train_errors = fitted.errors(train)
-    flagged = anomaly.flag_anomalies(
-        train_errors, fitted.errors(frames.where(F.col("split") == "test")), q=q
-    )
+    fitted = anomaly.fit_reconstruction(frames.where(F.col("split") == "train"), k)
+    errors = stage(fitted.errors(frames).drop("features"), "errors")
+    train, test = (errors.where(F.col("split") == name) for name in ("train", "test"))
+    flagged = anomaly.flag_anomalies(train, test, q=q)
     injected = fitted.errors(anomaly.inject_scenarios(anomaly.injection_base(frames)))
-    limit = anomaly.error_threshold(train_errors, q=q).scalar()
     return AnomalyRun(
         flagged,
-        anomaly.anomaly_summary(train_errors, flagged),
+        anomaly.anomaly_summary(train, flagged),
         anomaly.first_flagged(flagged),
-        anomaly.detection_rates(injected, limit),
+        anomaly.detection_rates(injected, anomaly.error_threshold(train, q=q).scalar()),
     )
