@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("telemetry_queries", "metrics_queries", "score_queries")
+_MODULES = ("telemetry_queries", "metrics_queries", "score_queries", "stream_queries")
 
 
 def load_catalog() -> None:

@@ -117,20 +117,22 @@ CTES["minutes"] = f"""SELECT machine, date_trunc('minute', timestamp) AS minute,
 
 
 def _machine_scaled(c: str) -> str:
-    return f"""CASE WHEN max({c}) OVER m = min({c}) OVER m THEN 0e0 ELSE ({c} - min({c}) OVER m)
-      / (max({c}) OVER m - min({c}) OVER m) END AS {c}"""
+    scale = f"CASE WHEN hi_{c} = lo_{c} THEN 1e0 ELSE 1e0 / (hi_{c} - lo_{c}) END"
+    return f"{c} * ({scale}) + (-lo_{c} * ({scale})) AS {c}"
 
 
-CTES["scaled_minutes"] = f"""SELECT machine, minute, count(*) OVER m AS minutes,
+CTES["scaled_minutes"] = f"""SELECT machine, minute, minutes,
   {", ".join(_machine_scaled(c) for c in METRIC_COLUMNS)}
-  FROM minutes WINDOW m AS (PARTITION BY machine)"""
+  FROM minutes JOIN (SELECT machine, count(*) AS minutes,
+    {", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in METRIC_COLUMNS)}
+    FROM minutes GROUP BY 1) USING (machine)"""
 _TOTAL = " + ".join(METRIC_COLUMNS)
 _SQUARES = " + ".join(f"{c} * {c}" for c in METRIC_COLUMNS)
 CTES["metric_frames"] = f"""SELECT machine, start, "end", n - 10 AS idx, element_sum, mean_square, first_element, last_element,
-  mem_total, row_number() OVER (ORDER BY machine, "end") - 1 AS position FROM (
+  {", ".join(f"total_{c}" for c in METRIC_COLUMNS)}, row_number() OVER (ORDER BY machine, "end") - 1 AS position FROM (
   SELECT machine, minutes, minute AS "end", first_value(minute) OVER f AS start, row_number() OVER t AS n,
     sum({_TOTAL}) OVER f AS element_sum, sum({_SQUARES}) OVER f / 100 AS mean_square,
-    sum(avg_mem + max_mem) OVER f AS mem_total,
+    {", ".join(f"sum({c}) OVER f AS total_{c}" for c in METRIC_COLUMNS)},
     first_value(cpu_usage) OVER f AS first_element, write_count AS last_element
   FROM scaled_minutes WHERE minutes > 10
   WINDOW t AS (PARTITION BY machine ORDER BY minute),

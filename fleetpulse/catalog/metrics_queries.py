@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetpulse.catalog import expressions as _expressions  # noqa: F401  (registers the SQL)
 from fleetpulse.catalog.registry import query
 from fleetpulse.catalog.views import metrics_text
-from fleetpulse.config import METRIC_COLUMNS
+from fleetpulse.config import FAILURE_SCENARIOS, METRIC_COLUMNS
 from fleetpulse.functions.parsing import (
     machine_key,
     parse_ts,
@@ -205,7 +205,7 @@ _FENCED = """SELECT e.machine, cpu_usage, q1, median, q3,
     "machine q1:4 median:4 q3:4 whisker_low:4 whisker_high:4 outliers:i",
     f"""SELECT machine, q1, median, q3, least(q1, min(cpu_usage) FILTER (inside)) AS whisker_low,
           greatest(q3, max(cpu_usage) FILTER (inside)) AS whisker_high,
-          count(*) FILTER (NOT inside) AS outliers FROM ({_FENCED}) GROUP BY ALL""",
+          count(*) FILTER (NOT inside) AS outliers FROM ({_FENCED}) GROUP BY machine, q1, median, q3""",
 )
 def _(spark, sf_dir):
     return explore.box_stats(explored(spark, sf_dir))
@@ -396,33 +396,34 @@ def _(spark, sf_dir):
     return anomaly.first_flagged(_flagged(spark, sf_dir)[1])
 
 
-# Element sums after injection: all steps of the overwritten metrics change.
-_INJECTED_SQL = """SELECT machine, "end", 'memory_leak_oom' AS scenario,
-    element_sum - mem_total + 10 * (1.4 + 1.6) AS injected_sum FROM split_frames WHERE split = 'test'
-  UNION ALL SELECT machine, "end", 'silent_death', 0 FROM split_frames WHERE split = 'test'"""
+# Element sums after injection: all ten steps of the overwritten metrics change.
+_INJECTED_SQL = " UNION ALL ".join(
+    f"""SELECT machine, "end", '{name}' AS scenario,
+          element_sum {" ".join(f"- total_{c} + {10 * level}e0" for c, level in levels.items())} AS injected_sum
+        FROM split_frames WHERE split = 'test'"""
+    for name, levels in FAILURE_SCENARIOS.items()
+)
 
 
 def _injected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return anomaly.inject_scenarios(anomaly.injection_base(split_frames(spark, sf_dir)))
+    frames = anomaly.inject_scenarios(anomaly.injection_base(split_frames(spark, sf_dir)))
+    total = F.aggregate(flatten_features("features"), F.lit(0.0), lambda a, x: a + x)
+    return frames.withColumn("injected_sum", total)
 
 
 @query("j6_injected_frames", "machine end:us scenario injected_sum:5", _INJECTED_SQL)
 def _(spark, sf_dir):
-    shown = _injected(spark, sf_dir).where(F.col("scenario").isin("memory_leak_oom", "silent_death"))
-    total = F.aggregate(flatten_features("features"), F.lit(0.0), lambda a, x: a + x)
-    return shown.withColumn("injected_sum", total)
+    return _injected(spark, sf_dir)
 
 
 @query(
     "d28_detection_rates",
     "scenario flagged:i total:i",
-    f"""SELECT scenario, count(*) FILTER (injected_sum > 40) AS flagged, count(*) AS total
+    f"""SELECT scenario, count(*) FILTER (injected_sum > 40.123e0) AS flagged, count(*) AS total
         FROM ({_INJECTED_SQL}) GROUP BY 1""",
 )
 def _(spark, sf_dir):
-    total = F.aggregate(flatten_features("features"), F.lit(0.0), lambda a, x: a + x)
-    rates = anomaly.detection_rates(_injected(spark, sf_dir).withColumn("error", total), 40.0)
-    return rates.where(F.col("scenario").isin("memory_leak_oom", "silent_death"))
+    return anomaly.detection_rates(_injected(spark, sf_dir), 40.123, error="injected_sum")
 
 
 @query("h8_reconstruction_anomalies", "position:i machine start:us end:us error:6 anomaly:i")

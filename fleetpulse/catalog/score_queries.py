@@ -122,7 +122,7 @@ def _mean_cpu_score(frames: DataFrame) -> DataFrame:
 
 
 def batch_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    windows = stage(stream_shaped_windows(spark, sf_dir).fillna(0.0), "windows")
+    windows = stage(stream_shaped_windows(spark, sf_dir), "windows")
     return score_batch(windows, _mean_cpu_score, BATCH_THRESHOLD, "check", lookback=SETTINGS.lookback)
 
 

@@ -131,3 +131,8 @@ def metrics_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spark_view(spark, sf_dir, _SCORES)
+
+
+def scores_from(events: DataFrame) -> DataFrame:
+    """The scores view over any events frame."""
+    return events.sparkSession.sql(_SCORES.format(**SPARK, events="{events}"), events=events)

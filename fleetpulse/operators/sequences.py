@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.config import MODEL_COLUMNS
@@ -61,10 +61,11 @@ def scoring_frames(
     """Frames for scoring a window table: every window with ``lookback`` observed windows.
 
     Gaps are not filled, nothing is filtered, and differences start at 0 within each
-    frame, as for a scorer that only knows its buffer. Adds ``features`` (unscaled) and
-    the derived columns of the latest window.
+    frame, as for a scorer that only knows its buffer. Absent measures count as 0. Adds
+    ``features`` (unscaled) and the derived columns of the latest window.
     """
-    framed, frame = position_slices(windows, ["machine_id"], "window_end", back=lookback - 1)
+    present = windows.fillna(0)
+    framed, frame = position_slices(present, ["machine_id"], "window_end", back=lookback - 1)
     steps = frame.rowsBetween(-(lookback - 1), 0)
     deltas = [i for i, c in enumerate(cols) if c in DELTAS]
     derived = framed.withColumns(delta_columns(frame) | row_columns())
@@ -90,6 +91,25 @@ def scoring_frames(
     )
 
 
+def buffer_features(frame: str | Column, cols: Sequence[str] = MODEL_COLUMNS) -> Column:
+    """Model inputs of a frame given as an array of window structs in time order."""
+    frame = F.col(frame) if isinstance(frame, str) else frame
+
+    def step(row: Column, i: Column) -> Column:
+        before = F.get(frame, i - 1)
+        derived = {
+            name: F.when(i == 0, F.lit(0.0)).otherwise(row[source] - before[source])
+            for name, source in DELTAS.items()
+        } | {
+            "throughput_total": (row["net_rx_bytes_sum"] + row["net_tx_bytes_sum"]).cast("double"),
+            "heartbeat_drop_ratio": F.lit(1.0) - row["heartbeat_ok_mean"],
+            "error_rate": row["error_count_sum"] / F.greatest(row["request_rate_mean"], F.lit(1.0)),
+        }
+        return F.array(*[(derived[c] if c in derived else row[c]).cast("float") for c in cols])
+
+    return F.transform(frame, step)
+
+
 def scale_frames(
     df: DataFrame, params: DataFrame, cols: Sequence[str] = MODEL_COLUMNS
 ) -> DataFrame:
