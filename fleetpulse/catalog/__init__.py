@@ -2,7 +2,13 @@
 
 from importlib import import_module
 
-_MODULES = ("telemetry_queries", "metrics_queries", "score_queries", "stream_queries")
+_MODULES = (
+    "telemetry_queries",
+    "metrics_queries",
+    "score_queries",
+    "stream_queries",
+    "model_queries",
+)
 
 
 def load_catalog() -> None:

@@ -270,17 +270,16 @@ def _(spark, sf_dir):
 _QUIET_US = QUIET_MINUTES * 60_000_000
 
 
-@query(
-    "e13_fired_alerts",
-    "machine_id eval_at:us fired:i",
-    f"""WITH RECURSIVE al AS (SELECT machine_id, epoch_us(eval_at) AS t FROM confirmations WHERE confirmed),
-      nxt AS (SELECT a.machine_id, a.t, min(b.t) AS after FROM al a JOIN al b
-              ON a.machine_id = b.machine_id AND b.t >= a.t + {_QUIET_US} GROUP BY 1, 2),
-      chain AS (SELECT machine_id, min(t) AS t FROM al GROUP BY 1
-                UNION ALL SELECT n.machine_id, n.after FROM chain c JOIN nxt n ON n.machine_id = c.machine_id AND n.t = c.t)
-    SELECT al.machine_id, make_timestamp(al.t) AS eval_at, chain.t IS NOT NULL AS fired
-    FROM al LEFT JOIN chain ON chain.machine_id = al.machine_id AND chain.t = al.t""",
-)
+CTES["fired_alerts"] = f"""WITH RECURSIVE al AS (SELECT machine_id, epoch_us(eval_at) AS t FROM confirmations WHERE confirmed),
+  nxt AS (SELECT a.machine_id, a.t, min(b.t) AS after FROM al a JOIN al b
+          ON a.machine_id = b.machine_id AND b.t >= a.t + {_QUIET_US} GROUP BY 1, 2),
+  chain AS (SELECT machine_id, min(t) AS t FROM al GROUP BY 1
+            UNION ALL SELECT n.machine_id, n.after FROM chain c JOIN nxt n ON n.machine_id = c.machine_id AND n.t = c.t)
+  SELECT al.machine_id, make_timestamp(al.t) AS eval_at, chain.t IS NOT NULL AS fired
+  FROM al LEFT JOIN chain ON chain.machine_id = al.machine_id AND chain.t = al.t"""
+
+
+@query("e13_fired_alerts", "machine_id eval_at:us fired:i", "fired_alerts")
 def _(spark, sf_dir):
     confirmed = stage(confirmations(spark, sf_dir).where("confirmed"), "alerts")
     return alerts.suppress(confirmed, QUIET_MINUTES)
