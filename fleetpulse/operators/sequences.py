@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fleetpulse.config import MODEL_COLUMNS
 from fleetpulse.operators.derived import DELTAS, delta_columns, row_columns
 from fleetpulse.operators.ordered import grid_slices, own_rows, position_slices
+from fleetpulse.operators.splitting import params_row
 
 
 def sequences(
@@ -114,27 +115,17 @@ def scale_frames(
     df: DataFrame, params: DataFrame, cols: Sequence[str] = MODEL_COLUMNS
 ) -> DataFrame:
     """Apply stored min-max parameters to every step of ``features``."""
-    table = params.agg(
-        F.map_from_entries(
-            F.collect_list(
-                F.struct(
-                    "feature",
-                    F.struct(
-                        F.col("scale").cast("float").alias("scale"),
-                        F.col("min").cast("float").alias("min"),
-                    ),
-                )
-            )
-        ).alias("_params")
-    ).scalar()
-    ordered = F.array(*[F.col("_params")[c] for c in cols])
-
-    def scaled(row):
-        return F.zip_with(row, F.col("_ordered"), lambda x, p: (x * p["scale"] + p["min"]).cast("float"))
+
+    def per_feature(field: str) -> Column:
+        return F.array(*[F.col(f"_params.{field}_{c}") for c in cols])
+
+    def scaled(row: Column) -> Column:
+        grown = F.zip_with(row, F.col("_scale"), lambda x, scale: x * scale)
+        return F.zip_with(grown, F.col("_min"), lambda x, low: (x + low).cast("float"))
 
     return (
-        df.withColumn("_params", table)
-        .withColumn("_ordered", ordered)
+        df.withColumn("_params", params_row(params, cols, "float"))
+        .withColumns({"_scale": per_feature("scale"), "_min": per_feature("min")})
         .withColumn("features", F.transform("features", scaled))
-        .drop("_params", "_ordered")
+        .drop("_params", "_scale", "_min")
     )

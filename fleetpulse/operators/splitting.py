@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.config import MODEL_COLUMNS
@@ -79,6 +79,17 @@ def fit_minmax(df: DataFrame, cols: Sequence[str] = MODEL_COLUMNS) -> DataFrame:
     return tall.withColumn("scale", scale).withColumn("min", -F.col("data_min") * F.col("scale"))
 
 
+def params_row(params: DataFrame, cols: Sequence[str], kind: str = "double") -> Column:
+    """The parameter table as one struct value with ``scale_<c>`` and ``min_<c>`` fields."""
+
+    def picked(field: str, c: str) -> Column:
+        value = F.max(F.when(F.col("feature") == c, F.col(field)))
+        return value.cast(kind).alias(f"{field}_{c}")
+
+    fields = [picked(field, c) for field in ("scale", "min") for c in cols]
+    return params.agg(*fields).select(F.struct("*").alias("_params")).scalar()
+
+
 def apply_minmax(
     df: DataFrame, params: DataFrame, cols: Sequence[str] = MODEL_COLUMNS, saved: bool = False
 ) -> DataFrame:
@@ -88,23 +99,13 @@ def apply_minmax(
     precision throughout; otherwise only the result is narrowed.
     """
     kind = "float" if saved else "double"
-    looked_up = F.map_from_entries(
-        F.collect_list(
-            F.struct(
-                "feature",
-                F.struct(
-                    F.col("scale").cast(kind).alias("scale"), F.col("min").cast(kind).alias("min")
-                ),
-            )
-        )
-    )
-    table = params.agg(looked_up.alias("_params")).scalar()
 
-    def scaled(c: str):
-        entry = F.col("_params")[c]
-        return (F.col(c).cast(kind) * entry["scale"] + entry["min"]).cast("float")
+    def scaled(c: str) -> Column:
+        value = F.col(c).cast(kind) * F.col(f"_params.scale_{c}") + F.col(f"_params.min_{c}")
+        return value.cast("float")
 
-    return df.withColumn("_params", table).withColumns({c: scaled(c) for c in cols}).drop("_params")
+    row = params_row(params, cols, kind)
+    return df.withColumn("_params", row).withColumns({c: scaled(c) for c in cols}).drop("_params")
 
 
 def class_balance(df: DataFrame, label: str = "label", cap: float = 20.0) -> DataFrame:

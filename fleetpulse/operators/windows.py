@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse.functions.parsing import bucket_start, expected_rows_per_bucket, missing_ratio
 from fleetpulse.operators.cleaning import dedupe_events
-from fleetpulse.operators.ordered import SLICE_ROWS, grid_slices, own_rows
+from fleetpulse.operators.ordered import SLICE_ROWS, grid_slices, own_rows, range_count
 from fleetpulse.schemas import FEATURE_WINDOW
 
 WINDOW_COLUMNS = FEATURE_WINDOW.fieldNames()
@@ -98,6 +98,9 @@ def machine_spine(events: DataFrame, bucket: int) -> DataFrame:
         *IDENTITY, cell("first_seen").alias("_lo"), cell("last_seen").alias("_hi")
     )
     blocks = reach.withColumn("_block", F.explode(F.sequence(block("_lo"), block("_hi"))))
+    # The blocks are few bytes but grow a thousandfold: spread them first, in a fixed
+    # number of partitions that adaptive coalescing leaves alone.
+    blocks = blocks.repartition(range_count(events), "machine_id", "_block")
     cells = blocks.withColumn(
         "_cell",
         F.explode(
@@ -124,10 +127,14 @@ def dense_buckets(events: DataFrame, bucket: int) -> DataFrame:
 def filled(dense: DataFrame, frame: WindowSpec, bucket: int, tick: int) -> DataFrame:
     """Gap-filled windows: means and maxima are carried over at most two buckets, then 0."""
     expected = expected_rows_per_bucket(tick, bucket)
-    recent = frame.rowsBetween(-FILL_LIMIT, 0)
     count = F.coalesce("event_count", F.lit(0))
+
+    def carried(name: str) -> Column:
+        earlier = [F.lag(name, back).over(frame) for back in range(1, FILL_LIMIT + 1)]
+        return F.coalesce(name, *earlier, F.lit(0.0))
+
     return dense.withColumns(
-        {c: F.coalesce(F.last(c, ignorenulls=True).over(recent), F.lit(0.0)) for c in _CARRIED}
+        {c: carried(c) for c in _CARRIED}
         | {c: F.coalesce(c, F.lit(0)) for c in [*_SUMS, *_FLAGS]}
         | {
             "event_count": count,

@@ -41,8 +41,20 @@ def shared_dir(spark: SparkSession) -> str:
     return local
 
 
+def _run_dir(spark: SparkSession) -> str:
+    """All intermediate tables of one application lie under one folder."""
+    return f"{shared_dir(spark).rstrip('/')}/fleetpulse/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/fleetpulse/{label}-{uuid.uuid4().hex}"
+    return f"{_run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once no result reads them any more."""
+    jvm, context = spark._jvm, spark.sparkContext
+    folder = jvm.org.apache.hadoop.fs.Path(_run_dir(spark))
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

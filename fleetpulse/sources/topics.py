@@ -38,9 +38,13 @@ def decode_events(df: DataFrame, schema: T.StructType = DECODED, value: str = "v
 
 
 def decode_windows(df: DataFrame, value: str = "value") -> DataFrame:
-    """Feature windows from JSON payloads."""
-    decoded = df.select(F.from_json(F.col(value).cast("string"), FEATURE_WINDOW).alias("_w"))
-    return decoded.select("_w.*")
+    """Feature windows from JSON payloads. The offset of a topic row, where there is one,
+    stays as ``arrival``: it orders a machine's windows, since the machine is the key."""
+    arrival = [F.col("offset").alias("arrival")] if "offset" in df.columns else []
+    decoded = df.select(
+        F.from_json(F.col(value).cast("string"), FEATURE_WINDOW).alias("_w"), *arrival
+    )
+    return decoded.select("_w.*", *[c for c in decoded.columns if c != "_w"])
 
 
 def keyed_payload(df: DataFrame, key: str = "machine_id") -> DataFrame:
