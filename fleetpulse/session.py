@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 def build_session(app: str = "fleetpulse", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
+    builder = builder.config("spark.sql.adaptive.enabled", "true")
+    builder = builder.config("spark.sql.adaptive.skewJoin.enabled", "true")
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
@@ -20,8 +22,6 @@ def build_session(app: str = "fleetpulse", master: str | None = None, **conf: st
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings every job relies on."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.adaptive.enabled", "true")
-    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -36,9 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share.")
-    local = tempfile.mkdtemp(prefix="fleetpulse-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fleetpulse-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def _run_dir(spark: SparkSession) -> str:
