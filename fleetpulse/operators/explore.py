@@ -168,12 +168,15 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] = METRIC_COLUMNS) -> D
     pairs = list(combinations_with_replacement(cols, 2))
 
     def moments(i: int, x: str, y: str):
-        both = F.col(x).isNotNull() & F.col(y).isNotNull()
-        a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
-        # try_divide, since corr() itself fails on a constant column.
-        varies = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
-        spread = F.stddev_pop(a) * F.stddev_pop(b)
-        return F.when(varies, F.try_divide(F.covar_pop(a, b), spread)).alias(f"_r{i}")
+        # try_divide, since corr() itself fails on a constant column. The spread of equal
+        # values is exactly zero.
+        if x == y:
+            spread = F.var_pop(x)
+            return F.try_divide(spread, spread).alias(f"_r{i}")
+        a = F.when(F.col(y).isNotNull(), F.col(x))
+        b = F.when(F.col(x).isNotNull(), F.col(y))
+        spread = F.sqrt(F.var_pop(a)) * F.sqrt(F.var_pop(b))
+        return F.try_divide(F.covar_pop(a, b), spread).alias(f"_r{i}")
 
     row = df.agg(*[moments(i, x, y) for i, (x, y) in enumerate(pairs)])
     entries = []
