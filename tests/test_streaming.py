@@ -11,8 +11,14 @@ from fleetpulse.operators.scoring import score_batch
 from fleetpulse.operators.windows import feature_windows
 from fleetpulse.plans.training import build_training_frame, read_manifest, score_windows, train_and_save
 from fleetpulse.schemas import FEATURE_WINDOW, PREDICTION, RAW_COLUMNS
-from fleetpulse.streaming.jobs import archive_stream, capture_history, load_predictions, start_feature_job
-from fleetpulse.streaming.lookback import lookback_frames, score_frames_with, score_stream, upsert
+from fleetpulse.streaming.jobs import (
+    archive_stream,
+    capture_history,
+    load_predictions,
+    start_feature_job,
+    start_scoring_job,
+)
+from fleetpulse.streaming.lookback import lookback_frames, score_frames_with, upsert
 
 
 def feed(df, path, n):
@@ -145,7 +151,11 @@ def test_training_and_stored_model_scoring(spark, sf_dir, tmp_path):
     inputs = str(tmp_path / "in")
     feed(table, inputs, 0)
     batch = score_windows(spark.read.schema(FEATURE_WINDOW).parquet(f"{inputs}/00"), model_dir)
-    _, online = run_to_end(score_stream(source(spark, inputs, FEATURE_WINDOW), model_dir), str(tmp_path / "out"))
+    out = str(tmp_path / "out")
+    windows_in = source(spark, inputs, FEATURE_WINDOW)
+    for query in start_scoring_job(windows_in, model_dir, None, out, str(tmp_path / "cp"), once=True):
+        query.awaitTermination()
+    online = spark.read.schema(PREDICTION).json(out)
     assert batch.count() > 0
     assert online.drop("@timestamp").exceptAll(batch.drop("@timestamp")).count() == 0
 
