@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetpulse.llm import secret_links, url_cascade
+from fleetpulse.llm import language_kernel, secret_links, toxicity_mil, url_cascade
 from fleetpulse.llm.bpe_codec import coded_documents
 from fleetpulse.llm.common import table
 from fleetpulse.llm.token_files import token_file_index
@@ -62,3 +62,16 @@ ORACLES["op6_url_cascade"] = url_cascade.sql(URL_RULES, LISTED_LABELS)
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return coded_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+@query
+def op5_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_kernel.predict_languages(docs, language_kernel.train(docs))
+
+
+@query
+def op8_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_mil.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity_mil.toxicity_scores(docs, model)
