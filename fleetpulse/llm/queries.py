@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetpulse.llm import language_kernel, secret_links, toxicity_mil, url_cascade
+from fleetpulse.llm import fm_decontam, language_kernel, secret_links, toxicity_mil, url_cascade
 from fleetpulse.llm.bpe_codec import coded_documents
 from fleetpulse.llm.common import table
 from fleetpulse.llm.token_files import token_file_index
@@ -75,3 +75,9 @@ def op8_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity_mil.train(docs, table(spark, sf_dir, "labels"))
     return toxicity_mil.toxicity_scores(docs, model)
+
+
+@query
+def op7_fm_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, tests = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return fm_decontam.contamination_report(docs, tests)
