@@ -14,7 +14,7 @@ link that shares a bucket is lost and members of one component are never paired.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.llm.common import columns_as, map_rows
@@ -27,6 +27,10 @@ BINS, ROWS = 128, 4
 #: Bits of the hash that number its bin, and attempts of an empty bin before the nearest one.
 _BIN_BITS, _ATTEMPTS = BINS.bit_length() - 1, 1024
 
+#: Bits kept of each bin's value, and how many bins of a pair may differ in them: at a
+#: similarity of 0.75, 30 differ on average; 56 is 5.4 standard deviations more.
+PLANES, MOST_DIFFERENT = 4, 56
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _ORDER = np.random.default_rng(20_240_601).integers(0, BINS, (_ATTEMPTS, BINS))
@@ -78,8 +82,9 @@ def shingle_hashes(text: str | None) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """The bucket keys of a non-empty set of sorted hashes."""
+def sketched(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket keys of a non-empty set of sorted hashes, and ``PLANES`` bits of every bin's
+    value as 64-bit words: plane by plane, one bit per bin."""
     bins = (hashes >> np.uint64(64 - _BIN_BITS)).astype(np.int64)
     full, first = np.unique(bins, return_index=True)
     values = np.zeros(BINS, np.uint64)
@@ -98,8 +103,11 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
         empty = empty[~hit]
     if len(empty):
         source[empty] = full[np.searchsorted(full, empty) % len(full)]
-    rows = _mixed(values[source]).reshape(-1, ROWS)
-    return _mixed((rows * _WEIGHTS[:ROWS]).sum(1, dtype=np.uint64) + _BANDS)
+    mixed = _mixed(values[source])
+    rows = mixed.reshape(-1, ROWS)
+    keys = _mixed((rows * _WEIGHTS[:ROWS]).sum(1, dtype=np.uint64) + _BANDS)
+    bits = (mixed >> np.arange(PLANES, dtype=np.uint64)[:, None]) & np.uint64(1)
+    return keys, np.packbits(bits.astype(np.uint8)).view(np.uint64)
 
 
 def _signed(values: np.ndarray) -> list[int]:
@@ -107,10 +115,11 @@ def _signed(values: np.ndarray) -> list[int]:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit fingerprint of the set (one, two) and its bucket keys."""
+    """doc_id, n_shingles, a 128-bit fingerprint of the set (one, two), bucket keys and bits."""
 
     def rows_of(batch: dict[str, list]) -> dict[str, list]:
-        made: dict[str, list] = {"n_shingles": [], "one": [], "two": [], "keys": []}
+        made: dict[str, list] = {"n_shingles": [], "one": [], "two": []}
+        made |= {"keys": [], "bits": []}
         for text in batch["text"]:
             hashes = shingle_hashes(text)
             sums = np.array(
@@ -120,24 +129,30 @@ def sketch(docs: DataFrame) -> DataFrame:
             made["n_shingles"].append(len(hashes))
             made["one"].append(one)
             made["two"].append(two)
-            made["keys"].append(_signed(band_keys(hashes)) if len(hashes) else [])
+            for name, values in zip(("keys", "bits"), sketched(hashes) if len(hashes) else (), strict=False):
+                made[name].append(_signed(values))
+            if not len(hashes):
+                made["keys"].append([])
+                made["bits"].append([])
         return {"doc_id": batch["doc_id"], **made}
 
-    schema = "doc_id long, n_shingles long, one long, two long, keys array<bigint>"
+    schema = "doc_id long, n_shingles long, one long, two long, keys array<bigint>, bits array<bigint>"
     return map_rows(docs, schema, rows_of)
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The full sets of the named documents."""
+    """The full sets of the named documents, with their bucket keys."""
 
     def rows_of(batch: dict[str, list]) -> dict[str, list]:
+        hashes = [shingle_hashes(text) for text in batch["text"]]
         return {
             "node": batch["doc_id"],
-            "hashes": [_signed(shingle_hashes(text)) for text in batch["text"]],
+            "hashes": [_signed(h) for h in hashes],
+            "keys": [_signed(sketched(h)[0]) if len(h) else [] for h in hashes],
         }
 
     wanted = docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi")
-    return map_rows(wanted, "node long, hashes array<bigint>", rows_of)
+    return map_rows(wanted, "node long, hashes array<bigint>, keys array<bigint>", rows_of)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -150,22 +165,34 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.where(both * 100 >= union * PERCENT).select("a", "b")
 
 
-def _near_in_size(left: str, right: str):
-    small, large = F.least(left, right), F.greatest(left, right)
-    return small * 100 >= large * PERCENT
+def _may_link(left: str, right: str) -> Column:
+    """Whether sizes and bin values allow a link: a bound that a true link fails once in ten
+    million pairs. Without it, every pair of a bucket would have to be confirmed."""
+    sizes = F.col(f"size{left}"), F.col(f"size{right}")
+    near = F.least(*sizes) * 100 >= F.greatest(*sizes) * PERCENT
+    words, different = BINS // 64, F.lit(0)
+    for word in range(words):
+        differs = F.lit(0).cast("long")
+        for plane in range(PLANES):
+            place = plane * words + word
+            a, b = F.col(f"bits{left}")[place], F.col(f"bits{right}")[place]
+            differs = differs.bitwiseOR(a.bitwiseXOR(b))
+        different = different + F.bit_count(differs)
+    return near & (different <= MOST_DIFFERENT)
 
 
 def _stars(members: DataFrame, order) -> DataFrame:
     """Each bucket's members tied to the one that comes first in ``order``."""
-    first = F.min(F.struct(order.alias("order"), "node", "size", "root")).alias("first")
+    first = F.min(F.struct(order.alias("order"), "node", "size", "bits", "root")).alias("first")
     centres = stage(members.groupBy("key").agg(first), "centres").select(
         "key",
         F.col("first.node").alias("a"),
         F.col("first.size").alias("size_a"),
+        F.col("first.bits").alias("bits_a"),
         F.col("first.root").alias("root_a"),
     )
     tied = members.join(centres, "key").where(F.col("root") != F.col("root_a"))
-    return tied.where(_near_in_size("size", "size_a")).select("a", F.col("node").alias("b"))
+    return tied.where(_may_link("", "_a")).select("a", F.col("node").alias("b"))
 
 
 def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -182,14 +209,27 @@ def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
     return stage(rooted.join(several, "key", "left_semi"), "apart")
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs of members of one bucket from different components."""
-    a = members.select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "size", "root")])
-    b = members.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "root")])
-    pairs = a.join(b, "key").where(
+def _across(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of members of one bucket from different components that are similar enough.
+
+    Members carry their set, at 31 bits a shingle and so with at least the true overlap but for
+    one, and the join itself compares them: it puts out next to nothing but links. A pair is
+    compared in the first bucket that it shares.
+    """
+    short = F.transform("hashes", lambda h: h.bitwiseAND(F.lit(2**31 - 1)).cast("int"))
+    full = members.join(sets.select("node", "keys", short.alias("hashes")), "node")
+
+    def side(name: str) -> DataFrame:
+        carried = ("node", "size", "bits", "root", "keys", "hashes")
+        return full.select("key", *[F.col(c).alias(f"{c}_{name}") for c in carried])
+
+    both = F.size(F.array_intersect("hashes_a", "hashes_b")) + 1
+    pairs = side("a").join(side("b"), "key").where(
         (F.col("node_a") < F.col("node_b"))
         & (F.col("root_a") != F.col("root_b"))
-        & _near_in_size("size_a", "size_b")
+        & _may_link("_a", "_b")
+        & (F.array_intersect("keys_a", "keys_b")[0] == F.col("key"))
+        & (both * 100 >= (F.col("size_a") + F.col("size_b") - both) * PERCENT)
     )
     return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
@@ -213,7 +253,7 @@ def near_duplicates(
     equal = [F.col(c) == F.col(f"{c}_of") for c in same]
     heads = base.join(named, [F.col("doc_id") == F.col("node"), *equal])
     members = heads.select(
-        F.explode("keys").alias("key"), "node", F.col("n_shingles").alias("size")
+        F.explode("keys").alias("key"), "node", F.col("n_shingles").alias("size"), "bits"
     )
     shared = stage(
         members.groupBy("key")
@@ -234,7 +274,7 @@ def near_duplicates(
     links = confirmed(_stars(members, F.col("node")))
     apart = _apart(members, links)
     links = links.union(confirmed(_stars(apart, F.xxhash64("key", "node"))))
-    links = links.union(confirmed(_across(_apart(apart, links))))
+    links = links.union(confirmed(_across(_apart(apart, links), sets)))
     roots = component_roots(links)
 
     grouped = base.join(classes, same, "left").join(roots, "node", "left")

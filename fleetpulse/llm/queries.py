@@ -7,7 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetpulse.llm import fm_decontam, language_kernel, secret_links, toxicity_mil, url_cascade
+from fleetpulse.llm import (
+    fm_decontam,
+    language_kernel,
+    minhash_oph,
+    secret_links,
+    toxicity_mil,
+    url_cascade,
+)
 from fleetpulse.llm.bpe_codec import coded_documents
 from fleetpulse.llm.common import table
 from fleetpulse.llm.token_files import token_file_index
@@ -81,3 +88,8 @@ def op8_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_fm_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, tests = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return fm_decontam.contamination_report(docs, tests)
+
+
+@query
+def op10_minhash_oph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_oph.near_duplicates(table(spark, sf_dir, "documents"))
