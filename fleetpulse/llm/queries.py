@@ -11,6 +11,7 @@ from fleetpulse.llm import (
     fm_decontam,
     language_kernel,
     minhash_oph,
+    rotation_codes,
     secret_links,
     toxicity_mil,
     url_cascade,
@@ -93,3 +94,8 @@ def op7_fm_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_minhash_oph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_oph.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotation_codes.near_vectors(table(spark, sf_dir, "embeddings"))
