@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fleetpulse.llm import (
     fm_decontam,
+    html_tree,
     language_kernel,
     minhash_oph,
     rotation_codes,
@@ -99,3 +100,9 @@ def op10_minhash_oph(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotation_codes.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op2_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_tree.main_texts(pages, html_tree.train(pages))
