@@ -91,6 +91,10 @@ def _hint(tag: str, attributes: str, around: str) -> str:
     return "main" if tag in _MAIN_TAGS or terms & _MAIN else around
 
 
+def _hinted(hint: str) -> list[str]:
+    return [] if hint == "none" else [f"hint {hint}"]
+
+
 def parse(page: str) -> list[Node]:
     """The nodes of a page in document order, the root first; text runs are leaves ``#text``."""
     nodes = [Node(-1, "#root", "none")]
@@ -103,7 +107,7 @@ def parse(page: str) -> list[Node]:
         if text:
             leaf = Node(stack[-1], "#text", nodes[stack[-1]].hint, text)
             leaf.features = [
-                f"hint {leaf.hint}",
+                *_hinted(leaf.hint),
                 f"in {nodes[stack[-1]].tag}",
                 f"size {min(9, int(math.log2(len(text))))}",
                 f"linked {min(4, 5 * linked // max(1, len(text)))}",
@@ -158,7 +162,7 @@ def parse(page: str) -> list[Node]:
                     break
                 del stack[last[0] :]
             hint = _hint(tag, match.group(4), nodes[stack[-1]].hint)
-            nodes.append(Node(stack[-1], tag, hint, features=[f"tag {tag}", f"hint {hint}"]))
+            nodes.append(Node(stack[-1], tag, hint, features=[f"tag {tag}", *_hinted(hint)]))
             stack.append(len(nodes) - 1)
     add_text(page[at:])
     flush()

@@ -14,7 +14,7 @@ link that shares a bucket is lost and members of one component are never paired.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetpulse.llm.common import columns_as, map_rows
@@ -285,3 +285,25 @@ def near_duplicates(
         component,
         F.col("doc_id").eqNullSafe(F.coalesce("root", "node", "doc_id")).alias("kept"),
     )
+
+
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One document of each group, the one with the smallest id, with all its columns.
+
+    Rows that repeat an id and text are one document, of which one row stays; of rows that
+    share an id but not the text, the first text in order stays. Rows of null ids stay: they
+    cannot be told apart.
+    """
+    found = near_duplicates(docs, id_col, text_col).where("kept AND doc_id IS NOT NULL")
+    ids = stage(found.groupBy("doc_id").agg(F.count("*").alias("n")), "kept-ids")
+    key, text = docs[f"`{id_col}`"], docs[f"`{text_col}`"]
+    single, repeated = ids.where("n = 1"), ids.where("n > 1")
+    once = docs.join(single, key.cast("long") == single["doc_id"], "left_semi")
+    again = docs.join(repeated, key.cast("long") == repeated["doc_id"], "left_semi").select(
+        key.alias("key"), text.alias("order"), F.struct(*docs.columns).alias("doc")
+    )
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.asc_nulls_last("order")))
+    first = again.withColumn("place", place).where("place = 1").select("doc.*")
+    return once.union(first).union(docs.where(key.isNull()))

@@ -52,6 +52,8 @@ WEAK = (
     Part("endpoint", r"[a-z][a-z0-9+.-]*://[A-Za-z0-9._~:/?#@!$&*+,;=%-]+", 12, "endpoint"),
 )
 KINDS = (*BASE, *WEAK)
+#: What stands in place of a masked span.
+MASK = "[SECRET]"
 #: Code points by which a part's scope reaches beyond it.
 SCOPE = 120
 #: A candidate of a kind cannot match where the text lacks this, so most texts are not split.
@@ -166,6 +168,23 @@ def _text_of(spans: Column) -> Column:
     )
 
 
+def _linked_weak(found: DataFrame, scope: int) -> DataFrame:
+    """The linked weak spans of each distinct text: extra_doc_id, extra_hash and extra."""
+    weak = found.where(F.exists("parts", lambda s: s["place"] >= len(BASE)))
+    single = weak.dropDuplicates(["doc_id", "text_hash"])
+    each = single.select("doc_id", "text_hash", F.explode("parts").alias("s"))
+    linked = link_parts(each.select("doc_id", "text_hash", "s.*"), scope)
+    extra = linked.groupBy("doc_id", "text_hash").agg(F.collect_list("span").alias("extra"))
+    return extra.select(
+        F.col("doc_id").alias("extra_doc_id"), F.col("text_hash").alias("extra_hash"), "extra"
+    )
+
+
+def _with_extra(rows: DataFrame, extra: DataFrame, doc_id: Column, text_hash: Column) -> DataFrame:
+    same = doc_id.eqNullSafe(F.col("extra_doc_id")) & (text_hash == F.col("extra_hash"))
+    return rows.join(extra, same, "left")
+
+
 def secret_spans(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE
 ) -> DataFrame:
@@ -176,21 +195,9 @@ def secret_spans(
     doc_id is kept; other columns are ignored.
     """
     found = stage(find_parts(docs, id_col, text_col), "secret-parts")
-    single = found.where(
-        F.exists("parts", lambda s: s["place"] >= len(BASE))
-    ).dropDuplicates(["doc_id", "text_hash"])
-    each = single.select("doc_id", "text_hash", F.explode("parts").alias("s"))
-    weak = link_parts(each.select("doc_id", "text_hash", "s.*"), scope)
-    extra = weak.groupBy("doc_id", "text_hash").agg(F.collect_list("span").alias("extra"))
-    extra = extra.select(
-        F.col("doc_id").alias("extra_doc_id"), F.col("text_hash").alias("extra_hash"), "extra"
-    )
-    base = F.filter("parts", lambda s: s["place"] < len(BASE))
-    joined = found.withColumn("base", base).join(
-        extra,
-        F.col("doc_id").eqNullSafe(F.col("extra_doc_id"))
-        & (F.col("text_hash") == F.col("extra_hash")),
-        "left",
+    base = found.withColumn("base", F.filter("parts", lambda s: s["place"] < len(BASE)))
+    joined = _with_extra(
+        base, _linked_weak(found, scope), F.col("doc_id"), F.col("text_hash")
     )
     every = F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast(_SPANS))))
 
@@ -206,6 +213,62 @@ def secret_spans(
     )
 
 
+def _masked(text: Column, spans: Column) -> Column:
+    """``text`` with a mark in place of each span; overlapping spans share one."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("pieces"))
+
+    def add(done: Column, span: Column) -> Column:
+        fresh = span["start"] >= done["at"]
+        gap = F.substring(text, done["at"] + 1, span["start"] - done["at"])
+        pieces = F.when(fresh, F.concat(done["pieces"], F.array(gap, F.lit(MASK))))
+        return F.struct(
+            F.greatest(done["at"], span["stop"]).alias("at"),
+            pieces.otherwise(done["pieces"]).alias("pieces"),
+        )
+
+    rest = F.length(text)
+    return F.aggregate(
+        spans,
+        zero,
+        add,
+        lambda done: F.concat(
+            F.array_join(done["pieces"], ""), F.substring(text, done["at"] + 1, rest)
+        ),
+    )
+
+
+def mask_secrets(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE
+) -> DataFrame:
+    """All rows and columns, with every reported span of the text masked and ``n_chars``, where
+    there is such a column, counted anew for changed texts."""
+    found = stage(find_parts(docs, id_col, text_col), "secret-parts")
+    extra = stage(_linked_weak(found, scope), "linked-parts")
+    text = F.col(f"doc.`{text_col}`")
+    whole = F.coalesce(text, F.lit(""))
+    # The row travels as one struct, so no column of it can clash with the ones made here.
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"))
+    base = F.concat(*[_matches(whole, part, place) for place, part in enumerate(BASE)])
+    rows = rows.withColumn("base", base)
+    joined = _with_extra(rows, extra, F.col(f"doc.`{id_col}`").cast("long"), F.xxhash64(whole))
+    spans = F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast(_SPANS))))
+    joined = joined.select("doc", spans.alias("spans"))
+    some = F.size("spans") > 0
+    joined = joined.withColumn(
+        "masked", F.when(some, _masked(whole, F.col("spans"))).otherwise(text)
+    )
+    columns = []
+    for name in docs.columns:
+        column = F.col(f"doc.`{name}`")
+        if name == text_col:
+            column = F.col("masked")
+        elif name == "n_chars":
+            new = F.length("masked").cast(docs.schema[name].dataType)
+            column = F.when(some, new).otherwise(column)
+        columns.append(column.alias(name))
+    return joined.select(*columns)
+
+
 def _sql_matches(place: int, part: Part) -> str:
     pattern = part.pattern.replace("'", "''")
     bounds = f"length(tested[i]) >= {part.at_least}"

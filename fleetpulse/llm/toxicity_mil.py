@@ -21,8 +21,8 @@ from fleetpulse.llm.common import Cache, columns_as
 
 #: At most so many labelled rows of either class are learned from, taken by a hash of doc_id.
 SAMPLE = {0: 3000, 1: 1500}
-#: A word or beginning is a feature if at least so many of them hold it.
-LEAST_DOCUMENTS = 15
+#: A word or beginning is a feature if at least this share of them holds it, and so many.
+LEAST_SHARE, LEAST_DOCUMENTS = 0.003, 4
 #: Lengths of the beginnings of words that are features.
 BEGINNINGS = (4, 5)
 #: Steps of the fit, their rate, and the weight of the squared weights in what is minimised.
@@ -111,7 +111,8 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     for bag in bags:
         for word in set().union(*bag):
             holders[word] = holders.get(word, 0) + 1
-    words = sorted(w for w, n in holders.items() if n >= LEAST_DOCUMENTS)
+    least = max(LEAST_DOCUMENTS, LEAST_SHARE * len(texts))
+    words = sorted(w for w, n in holders.items() if n >= least)
     place = {word: i for i, word in enumerate(words)}
     # One flat list of word places per sentence; slot len(words) stands for the bias.
     bias = len(words)
