@@ -10,19 +10,6 @@ FEATURE_TOPIC = "infra.feature.windows"
 PREDICTION_TOPIC = "infra.predictions"
 DEAD_LETTER_TOPIC = "infra.dlq"
 
-# Phase names and their codes.
-PHASE_CODES = {"healthy": 0, "stress": 1, "degraded": 2, "incident": 3, "recovery": 4}
-
-# Failure types that an incident can carry.
-FAILURE_TYPES = (
-    "memory_leak",
-    "cpu_saturation",
-    "network_meltdown",
-    "disk_exhaustion",
-    "gpu_oom",
-    "app_crash",
-)
-
 # Model inputs, in the order a trained model expects them.
 MODEL_COLUMNS = [
     "cpu_pct_mean",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.config import METRIC_COLUMNS
@@ -51,7 +51,7 @@ def split_valid(
 
 
 def dedupe_events(df: DataFrame, watermark: str | None = None) -> DataFrame:
-    """One row per (machine, sequence number).
+    """One row per (machine, sequence number): in batch the earliest one.
 
     On a stream the watermark comes first, which lets the de-duplication state expire.
     """
@@ -60,7 +60,10 @@ def dedupe_events(df: DataFrame, watermark: str | None = None) -> DataFrame:
         return df.withWatermark("event_time", watermark or "2 minutes").dropDuplicatesWithinWatermark(
             keys
         )
-    return df.dropDuplicates(keys)
+    rest = [c for c in df.columns if c not in keys]
+    order = F.struct(F.col("event_time").isNull(), "event_time")
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_row"))
+    return first.select(*keys, "_row.*").select(*df.columns)
 
 
 def incidents(df: DataFrame) -> DataFrame:
@@ -75,7 +78,9 @@ def incidents(df: DataFrame) -> DataFrame:
 
 
 def latest_by_key(
-    df: DataFrame, keys: Sequence[str] = ("machine_id", "window_end"), arrival: str = "arrival"
+    df: DataFrame,
+    keys: Sequence[str] = ("machine_id", "window_end"),
+    arrival: str | Column = "arrival",
 ) -> DataFrame:
     """The last arrival per key: later refinements replace earlier ones.
 

@@ -67,14 +67,14 @@ PREDICTION = _struct(
 METRICS_TEXT = T.StructType([T.StructField(name, T.StringType()) for name in METRICS_TABLE_COLUMNS])
 
 # Types of the searchable tables: measures are single precision there.
-_SEARCH_DOUBLES_STAY = {"net_rx_bytes_sum", "net_tx_bytes_sum"}
+_SEARCH_LONGS = {"net_rx_bytes_sum", "net_tx_bytes_sum"}
 
 
 def _search_types(schema: T.StructType, integers: set[str]) -> T.StructType:
     def narrowed(field: T.StructField) -> T.StructField:
         if field.name in integers:
             return T.StructField(field.name, T.IntegerType())
-        if field.name in _SEARCH_DOUBLES_STAY:
+        if field.name in _SEARCH_LONGS:
             return T.StructField(field.name, T.LongType())
         if isinstance(field.dataType, (T.DoubleType, T.LongType)):
             return T.StructField(field.name, T.FloatType())

@@ -22,12 +22,19 @@ def source_options(servers: str, topic: str, starting: str = "latest") -> dict[s
     }
 
 
+#: Rows of a topic that one micro-batch takes at most; a backlog is worked off in many.
+MOST_OFFSETS = 1_000_000
+
+
 def topic_source(
     spark: SparkSession, servers: str, topic: str, starting: str = "latest"
 ) -> DataFrame:
     """A topic as a stream of key/value rows."""
     return (
-        spark.readStream.format("kafka").options(**source_options(servers, topic, starting)).load()
+        spark.readStream.format("kafka")
+        .options(**source_options(servers, topic, starting))
+        .option("maxOffsetsPerTrigger", MOST_OFFSETS)
+        .load()
     )
 
 
@@ -39,12 +46,26 @@ def decode_events(df: DataFrame, schema: T.StructType = DECODED, value: str = "v
 
 def decode_windows(df: DataFrame, value: str = "value") -> DataFrame:
     """Feature windows from JSON payloads. The offset of a topic row, where there is one,
-    stays as ``arrival``: it orders a machine's windows, since the machine is the key."""
+    stays as ``arrival``: it orders a machine's windows, since the machine is the key.
+    Payloads without a machine or an end time, unreadable ones among them, are left out;
+    ``rejected_windows`` gives them."""
     arrival = [F.col("offset").alias("arrival")] if "offset" in df.columns else []
     decoded = df.select(
         F.from_json(F.col(value).cast("string"), FEATURE_WINDOW).alias("_w"), *arrival
     )
-    return decoded.select("_w.*", *[c for c in decoded.columns if c != "_w"])
+    named = decoded.where(_is_window("_w"))
+    return named.select("_w.*", *[c for c in decoded.columns if c != "_w"])
+
+
+def _is_window(window: str):
+    return F.col(f"{window}.machine_id").isNotNull() & F.col(f"{window}.window_end").isNotNull()
+
+
+def rejected_windows(df: DataFrame, value: str = "value") -> DataFrame:
+    """The payloads that ``decode_windows`` leaves out, with the reason."""
+    window = F.from_json(F.col(value).cast("string"), FEATURE_WINDOW)
+    unnamed = df.withColumn("_w", window).where(~F.coalesce(_is_window("_w"), F.lit(False)))
+    return unnamed.select(F.lit("not_a_feature_window").alias("reason"), value)
 
 
 def keyed_payload(df: DataFrame, key: str = "machine_id") -> DataFrame:

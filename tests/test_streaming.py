@@ -1,16 +1,19 @@
 import json
+from collections import Counter
 from dataclasses import replace
 
 import pytest
 from helpers import at, events, windows
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from fleetpulse.catalog import views
 from fleetpulse.config import MODEL_COLUMNS, Settings
 from fleetpulse.operators.scoring import score_batch
 from fleetpulse.operators.windows import feature_windows
 from fleetpulse.plans.training import build_training_frame, read_manifest, score_windows, train_and_save
 from fleetpulse.schemas import FEATURE_WINDOW, PREDICTION, RAW_COLUMNS
+from fleetpulse.sources import topics
 from fleetpulse.streaming.jobs import (
     archive_stream,
     capture_history,
@@ -176,3 +179,31 @@ def test_training_frame_equals_its_parts(spark):
     joined = build_training_frame(raw)
     parts = label_windows(add_derived(feature_windows(raw), 30), incidents(raw))
     assert joined.exceptAll(parts).count() == 0 and joined.count() == parts.count()
+
+
+STREAMED = ["a4_archived_events", "g2_final_windows", "g3_streamed_events", "g6_online_predictions"]
+
+
+@pytest.mark.parametrize("name", STREAMED)
+def test_streams_read_every_part_of_a_table(spark, sf_dir, tmp_path, name):
+    query = contract.queries()[name]
+    whole = spark.read.parquet(f"{sf_dir}/events.parquet")
+    whole.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    parts = Counter(map(tuple, query(spark, str(tmp_path)).collect()))
+    assert parts and parts == Counter(map(tuple, query(spark, sf_dir).collect()))
+
+
+def test_a_repeated_window_fills_one_place(spark):
+    table = windows(spark, [{"n": i} for i in range(1, 20)] + [{"n": 5, "role": "db"}])
+    assert score_batch(table, mean_score, 0.2, "v").count() == 0
+    full = table.union(windows(spark, [{"n": 20}]))
+    assert score_batch(full, mean_score, 0.2, "v").count() == 1
+
+
+def test_unreadable_windows_reach_the_rejects_and_no_buffer(spark):
+    good = topics.keyed_payload(windows(spark, [{"n": i} for i in range(3)])).select("value")
+    bad = spark.createDataFrame([("{not json",)] * 25 + [('{"role": "db"}',), (None,)], "value string")
+    every = good.union(bad)
+    assert topics.decode_windows(every).count() == 3
+    rejects = topics.rejected_windows(every)
+    assert rejects.count() == 27 and rejects.columns == ["reason", "value"]
