@@ -103,42 +103,45 @@ def _softplus(z: np.ndarray) -> np.ndarray:
 
 def fit(texts: list[str], labels: list[int]) -> Model:
     """Full-batch Adam on the noisy-or likelihood, each class weighing the same per row."""
-    bags = [
-        [[f for word in set(words) for f in features(word)] for _, _, words in sentences(text)]
-        for text in texts
-    ]
+    # Read twice, so that only the places of kept features are held, not every word.
     holders: dict[str, int] = {}
-    for bag in bags:
-        for word in set().union(*bag):
-            holders[word] = holders.get(word, 0) + 1
+    for text in texts:
+        for name in {f for _, _, words in sentences(text) for w in words for f in features(w)}:
+            holders[name] = holders.get(name, 0) + 1
     least = max(LEAST_DOCUMENTS, LEAST_SHARE * len(texts))
-    words = sorted(w for w, n in holders.items() if n >= least)
-    place = {word: i for i, word in enumerate(words)}
-    # One flat list of word places per sentence; slot len(words) stands for the bias.
-    bias = len(words)
-    lists = [[bias, *[place[w] for w in s if w in place]] for bag in bags for s in bag]
-    document = np.repeat(np.arange(len(bags)), [len(bag) for bag in bags])
+    names = sorted(name for name, n in holders.items() if n >= least)
+    del holders
+    place = {name: i for i, name in enumerate(names)}
+    # One flat list of word places per sentence; slot len(names) stands for the bias.
+    bias, lists, counts = len(names), [], []
+    for text in texts:
+        bag = sentences(text)
+        counts.append(len(bag))
+        for _, _, words in bag:
+            known = [place[f] for w in set(words) for f in features(w) if f in place]
+            lists.append(np.array([bias, *known], np.int32))
+    document = np.repeat(np.arange(len(texts)), counts)
     theta = np.zeros(bias + 1)
     theta[bias] = START
     if lists and len(set(labels)) == 2:
-        flat = np.concatenate([np.array(x, np.int32) for x in lists])
+        flat = np.concatenate(lists)
         sizes = np.array([len(x) for x in lists])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         toxic = np.array(labels)[document] == 1
         mean, square = np.zeros_like(theta), np.zeros_like(theta)
         for step in range(1, ROUNDS + 1):
             z = np.add.reduceat(theta[flat], starts)
-            clean = np.bincount(document, _softplus(z), len(bags))  # -log of P(clean)
+            clean = np.bincount(document, _softplus(z), len(texts))  # -log of P(clean)
             odds = 1 / np.maximum(np.expm1(np.minimum(clean, 50)), 1e-9)
             slope = 1 / (1 + np.exp(-z)) * np.where(toxic, -odds[document], 1.0)
-            gradient = np.bincount(flat, np.repeat(slope, sizes), bias + 1) / len(bags)
+            gradient = np.bincount(flat, np.repeat(slope, sizes), bias + 1) / len(texts)
             gradient[:bias] += SHRINK * theta[:bias]
             mean = 0.9 * mean + 0.1 * gradient
             square = 0.99 * square + 0.01 * gradient**2
             rate = RATE / (1 - 0.9**step) * np.sqrt(1 - 0.99**step)
             theta -= rate * mean / (np.sqrt(square) + 1e-8)
     return Model(
-        float(theta[bias]), {w: float(t) for w, t in zip(words, theta, strict=False) if abs(t) > 0.02}
+        float(theta[bias]), {w: float(t) for w, t in zip(names, theta, strict=False) if abs(t) > 0.02}
     )
 
 
