@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.config import METRIC_COLUMNS
-from fleetpulse.operators.ordered import exact_quantiles
+from fleetpulse.operators.ordered import counted_quantiles
+from fleetpulse.session import stage
 
 
 def mean_by(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -62,15 +65,23 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     )
 
 
-def _fences(df: DataFrame, col: str, key: str) -> DataFrame:
-    quartiles = exact_quantiles(df, [key], col, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+def _value_counts(df: DataFrame, col: str, key: str) -> DataFrame:
+    """Rows per key and value, written once: quartiles, extremes and outliers all follow."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(key, col).agg(F.count(F.lit(1)).alias("_n"))
+    return stage(counts, "value-counts")
+
+
+def _fences(counts: DataFrame, col: str, key: str) -> DataFrame:
+    probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    quartiles = counted_quantiles(counts, [key], col, "_n", probs)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     return quartiles.withColumns({"_low": F.col("q1") - reach, "_high": F.col("q3") + reach})
 
 
 def box_stats(df: DataFrame, col: str = "cpu_usage", key: str = "machine") -> DataFrame:
     """Quartiles, whiskers (the extreme values within 1.5 IQR) and the outlier count per key."""
-    fenced = df.where(F.col(col).isNotNull()).join(_fences(df, col, key), key)
+    counts = _value_counts(df, col, key)
+    fenced = counts.join(_fences(counts, col, key), key)
     inside = F.col(col).between(F.col("_low"), F.col("_high"))
     grouped = fenced.groupBy(key).agg(
         F.first("q1").alias("q1"),
@@ -78,7 +89,7 @@ def box_stats(df: DataFrame, col: str = "cpu_usage", key: str = "machine") -> Da
         F.first("q3").alias("q3"),
         F.min(F.when(inside, F.col(col))).alias("_lo"),
         F.max(F.when(inside, F.col(col))).alias("_hi"),
-        F.count_if(~inside).alias("outliers"),
+        F.sum(F.when(inside, 0).otherwise(F.col("_n"))).alias("outliers"),
     )
     # A whisker never ends inside the box.
     return grouped.select(
@@ -93,20 +104,22 @@ def box_stats(df: DataFrame, col: str = "cpu_usage", key: str = "machine") -> Da
 
 
 def box_outliers(df: DataFrame, col: str = "cpu_usage", key: str = "machine") -> DataFrame:
-    """The rows beyond the whiskers."""
-    fenced = df.where(F.col(col).isNotNull()).join(_fences(df, col, key), key)
-    return fenced.where(~F.col(col).between(F.col("_low"), F.col("_high"))).select(key, col)
+    """The rows beyond the whiskers, given back from their counts."""
+    counts = _value_counts(df, col, key)
+    fenced = counts.join(_fences(counts, col, key), key)
+    beyond = fenced.where(~F.col(col).between(F.col("_low"), F.col("_high")))
+    return beyond.select(key, col, F.explode(F.sequence(F.lit(1), "_n")).alias("_i")).drop("_i")
 
 
 def violin_stats(df: DataFrame, col: str = "cpu_usage", key: str = "machine") -> DataFrame:
     """Minimum, maximum, mean and median per key."""
-    present = df.where(F.col(col).isNotNull())
-    medians = exact_quantiles(present, [key], col, {"median": 0.5})
-    spread = present.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"),
+    counts = _value_counts(df, col, key)
+    medians = counted_quantiles(counts, [key], col, "_n", {"median": 0.5})
+    spread = counts.groupBy(key).agg(
+        F.sum("_n").alias("n"),
         F.min(col).alias("min"),
         F.max(col).alias("max"),
-        F.avg(col).alias("mean"),
+        (F.sum(F.col(col) * F.col("_n")) / F.sum("_n")).alias("mean"),
     )
     return spread.join(medians, key)
 
@@ -162,27 +175,48 @@ def violin_density(
 def correlation_matrix(df: DataFrame, cols: Sequence[str] = METRIC_COLUMNS) -> DataFrame:
     """Pearson correlation of every pair of columns, as (x, y, r) rows.
 
-    All pairs come from one aggregate; each pair uses the rows where both are present.
-    Pairs with a constant column have no correlation.
+    Columns that hold a value in every row, as all do once imputed, share one Gramian pass.
+    Pairs with a column of scattered nulls use the rows where both are present. Pairs with a
+    constant or empty column have no correlation.
     """
-    pairs = list(combinations_with_replacement(cols, 2))
-
-    def moments(i: int, x: str, y: str):
-        # try_divide, since corr() itself fails on a constant column. The spread of equal
-        # values is exactly zero.
-        if x == y:
-            spread = F.var_pop(x)
-            return F.try_divide(spread, spread).alias(f"_r{i}")
+    spread = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[
+            F.struct(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(f"_{i}")
+            for i, c in enumerate(cols)
+        ],
+    ).first()
+    facts = {c: spread[f"_{i}"] for i, c in enumerate(cols)}
+    varied = [c for c in cols if facts[c].n > 1 and facts[c].lo < facts[c].hi]
+    whole = [c for c in varied if facts[c].n == spread.rows]
+    known: dict[tuple[str, str], Column] = {}
+    if whole:
+        vectors = VectorAssembler(inputCols=whole, outputCol="_v").transform(df.select(*whole))
+        matrix = Correlation.corr(vectors, "_v").first()[0].toArray()
+        for i, x in enumerate(whole):
+            for j, y in enumerate(whole):
+                known[x, y] = F.lit(1.0 if i == j else float(matrix[i, j]))
+    pairs = [
+        (x, y)
+        for x, y in combinations_with_replacement(cols, 2)
+        if x in varied and y in varied and (x, y) not in known
+    ]
+
+    def moments(x: str, y: str) -> Column:
+        # try_divide, since corr() itself fails on a constant column.
         a = F.when(F.col(y).isNotNull(), F.col(x))
         b = F.when(F.col(x).isNotNull(), F.col(y))
-        spread = F.sqrt(F.var_pop(a)) * F.sqrt(F.var_pop(b))
-        return F.try_divide(F.covar_pop(a, b), spread).alias(f"_r{i}")
+        return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a)) * F.sqrt(F.var_pop(b)))
 
-    row = df.agg(*[moments(i, x, y) for i, (x, y) in enumerate(pairs)])
-    entries = []
     for i, (x, y) in enumerate(pairs):
-        r = F.col(f"_r{i}").alias("r")
-        entries.append(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), r))
-        if x != y:
-            entries.append(F.struct(F.lit(y).alias("x"), F.lit(x).alias("y"), r))
-    return row.select(F.inline(F.array(*entries)))
+        known[x, y] = known[y, x] = F.lit(1.0) if x == y else F.col(f"_r{i}")
+    row = df.agg(F.count(F.lit(1)), *[moments(*pair).alias(f"_r{i}") for i, pair in enumerate(pairs)])
+    nothing = F.lit(None).cast("double")
+    entries = [
+        F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), known.get((x, y), nothing).alias("r"))
+        for x in cols
+        for y in cols
+    ]
+    # Without pairs of their own the rows are not read again.
+    source = row if pairs else df.sparkSession.range(1)
+    return source.select(F.inline(F.array(*entries)))

@@ -8,6 +8,7 @@ few rows (or totals) a slice needs from its neighbours, and leave results exact.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
@@ -120,9 +121,8 @@ def carry_last(
 
 
 def range_count(df: DataFrame) -> int:
-    """How many value ranges to cut: one per shuffle partition, within reason."""
-    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return min(max(configured, 8), 1024)
+    """How many value ranges to cut: one per shuffle partition."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), 8)
 
 
 def value_ranges(df: DataFrame, unique: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -140,9 +140,19 @@ def value_ranges(df: DataFrame, unique: Sequence[str], order: Sequence[str]) ->
         .orderBy("_hash", "_probe")
         .limit(ranges * oversample)
         .agg(F.sort_array(F.collect_list("_probe")).alias("_cuts"))
-        .select(F.filter("_cuts", lambda _, i: i % oversample == oversample - 1).alias("_cuts"))
+        .select(F.filter("_cuts", lambda _, i: i % oversample == oversample - 1).alias("_fine"))
     )
-    number = F.size(F.filter("_cuts", lambda cut: cut <= probe))
+    # Searched in two levels: the last cut of each block of cuts, then the cuts of one block.
+    block = max(1, isqrt(ranges))
+    cuts = cuts.select(
+        F.struct(
+            "_fine",
+            F.filter("_fine", lambda _, i: i % block == block - 1).alias("_coarse"),
+        ).alias("_cuts")
+    )
+    passed = F.size(F.filter("_cuts._coarse", lambda cut: cut <= probe)) * block
+    within = F.slice("_cuts._fine", passed + 1, F.lit(block))
+    number = passed + F.size(F.filter(within, lambda cut: cut <= probe))
     # Never null, so that no null check on it is inferred and pushed below an aggregate.
     return (
         df.withColumn("_cuts", cuts.scalar())
