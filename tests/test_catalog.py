@@ -15,13 +15,6 @@ from fleetpulse.catalog.registry import ORACLES, QUERIES
 from fleetpulse.session import shared_dir
 
 load_catalog()
-WITHOUT_SQL = {
-    "h2_classifier_scores",
-    "h4_training_record",
-    "h5_model_scores",
-    "h8_reconstruction_anomalies",
-    "h9_injected_failure_rates",
-}
 QUICK = [
     "a3_decoded_events",
     "b1_checked_events",
@@ -41,9 +34,8 @@ QUICK = [
 ]
 
 
-def test_every_query_has_a_twin_unless_it_trains():
-    assert QUERIES.keys() - ORACLES.keys() == WITHOUT_SQL
-    assert ORACLES.keys() <= QUERIES.keys() <= contract.queries().keys()
+def test_every_query_has_a_twin():
+    assert ORACLES.keys() == QUERIES.keys() <= contract.queries().keys()
     assert ORACLES.keys() <= contract.oracle_sql().keys()
 
 
