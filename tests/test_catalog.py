@@ -27,6 +27,9 @@ QUICK = [
     "e9_positional_split",
     "e12_recoveries",
     "e13_fired_alerts",
+    "g4_refined_windows",
+    "g5_late_events",
+    "g7_restarted_windows",
     "g8_streamed_alerts",
     "h3_labelled_model_rows",
     "h5_batch_scores",
