@@ -285,9 +285,12 @@ def fit(pages: list[str]) -> Model:
 
 
 def train(pages: DataFrame) -> Model:
+    """Learn from at most ``SAMPLE`` pages; null pages teach nothing, and of rows that share an
+    id the first page in order teaches."""
     pages = columns_as(pages, page_id="page_id", html="html").where(F.col("html").isNotNull())
     chosen = pages.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id")
-    rows = pages.join(chosen.limit(SAMPLE), "page_id").collect()
+    found = pages.join(chosen.limit(SAMPLE), "page_id").groupBy("page_id")
+    rows = found.agg(F.min("html").alias("html")).collect()
     rows.sort(key=lambda row: (row.page_id, row.html))
     return fit([row.html for row in rows])
 

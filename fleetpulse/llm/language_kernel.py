@@ -141,7 +141,8 @@ def fit(texts: list[str], languages: list[str]) -> Model:
 
 def train(docs: DataFrame) -> Model:
     """Learn from text and lang of rows that are not held out; the rows of a language are
-    thinned by a hash of their id to about ``PER_LANGUAGE``."""
+    thinned by a hash of their id to about ``PER_LANGUAGE``. Of rows that share an id and a
+    language, the first text in order teaches."""
     known = columns_as(docs, doc_id="doc_id", text="text", lang="lang").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
     )
@@ -151,8 +152,9 @@ def train(docs: DataFrame) -> Model:
     share = F.lit(0.0)
     for language, n in counts.items():
         share = F.when(F.col("lang") == language, F.lit(min(1.0, PER_LANGUAGE / n))).otherwise(share)
-    rows = known.where(order < share).collect()
-    rows.sort(key=lambda row: (row.doc_id, row.text))
+    found = known.where(order < share).groupBy("doc_id", "lang")
+    rows = found.agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda row: (row.doc_id, row.text, row.lang))
     return fit([row.text for row in rows], [row.lang for row in rows])
 
 

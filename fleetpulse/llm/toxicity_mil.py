@@ -157,7 +157,7 @@ def train(
     """Learn from at most ``SAMPLE`` labelled rows that are not held out.
 
     Null labels, null ids and null texts teach nothing; an id with several labels counts as
-    toxic if one of them says so.
+    toxic if one of them says so. Of rows that share an id, the first text in order teaches.
     """
     known = (
         columns_as(labels, doc_id="doc_id", toxic="toxic")
@@ -171,7 +171,8 @@ def train(
     rows = []
     for label, most in SAMPLE.items():
         chosen = known.where(F.col("toxic") == label).orderBy(order, "doc_id").limit(most)
-        rows += texts.join(chosen, "doc_id").select("doc_id", "text", "toxic").collect()
+        found = texts.join(chosen, "doc_id").groupBy("doc_id", "toxic")
+        rows += found.agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda row: (row.doc_id, row.text))
     return fit([row.text for row in rows], [row.toxic for row in rows])
 

@@ -255,6 +255,7 @@ def test_toxicity_learns_from_document_labels(spark):
     marks = [(i, y) for i, y in enumerate(labels)] + [(None, 1), (0, None), (999, 1)]
     known = spark.createDataFrame(marks, "doc_id long, toxic int")
     model = toxicity_mil.train(df, known)
+    assert toxicity_mil.train(df.union(df), known) == model
     found = {r.doc_id: r for r in toxicity_mil.toxicity_scores(df, model).collect()}
     held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert {i for i, r in found.items() if r.held_out} >= set(held)
@@ -290,15 +291,26 @@ def test_pipeline_stages_hold_their_contract(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     left = docs
+    model = toxicity_mil.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    scorer = toxicity_mil.Scorer(model)
+    items = [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    brute = {
+        "toxicity": lambda pairs: [i for i, text in pairs if scorer.score(text) < 0.5],
+        "near_duplicates": lambda pairs: [r[0] for r in _brute_groups(pairs) if r[-1]],
+        "decontamination": lambda pairs: [
+            r[0] for r in _brute_contamination(pairs, items) if not r[-1]
+        ],
+        "secrets": lambda pairs: [i for i, _ in pairs],
+    }
     for name, function in corpus_pipeline.STAGES[:-1]:
+        pairs = [(r.doc_id, r.text) for r in left.collect()]
         kept = function(spark, left, folder)
         assert kept.columns == docs.columns, name
         left = corpus_pipeline.stage(kept, name)
+        assert sorted(r.doc_id for r in left.collect()) == sorted(brute[name](pairs)), name
     ids = {r.doc_id for r in left.collect()}
     assert 0 < len(ids) < docs.count()
-    tests = spark.read.parquet(f"{folder}/benchmark.parquet").collect()
     pairs = [(r.doc_id, r.text) for r in left.collect()]
-    assert not any(r[-1] for r in _brute_contamination(pairs, [tuple(t) for t in tests]))
     assert not any(_brute_base(text) for _, text in pairs)
     final = corpus_pipeline.run(spark, folder).collect()
     assert {r.doc_id for r in final} == ids
