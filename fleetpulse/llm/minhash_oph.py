@@ -181,18 +181,28 @@ def _may_link(left: str, right: str) -> Column:
     return near & (different <= MOST_DIFFERENT)
 
 
+def _linkable(pairs: DataFrame, traits: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) that may link by the sizes and bits in ``traits``."""
+
+    def of(name: str) -> DataFrame:
+        return traits.select(
+            F.col("node").alias(name),
+            F.col("size").alias(f"size_{name}"),
+            F.col("bits").alias(f"bits_{name}"),
+        )
+
+    known = pairs.distinct().join(of("b"), "b").join(of("a"), "a")
+    return known.where(_may_link("_a", "_b")).select("a", "b").distinct()
+
+
 def _stars(members: DataFrame, order) -> DataFrame:
     """Each bucket's members tied to the one that comes first in ``order``."""
-    first = F.min(F.struct(order.alias("order"), "node", "size", "bits", "root")).alias("first")
+    first = F.min(F.struct(order.alias("order"), "node", "root")).alias("first")
     centres = stage(members.groupBy("key").agg(first), "centres").select(
-        "key",
-        F.col("first.node").alias("a"),
-        F.col("first.size").alias("size_a"),
-        F.col("first.bits").alias("bits_a"),
-        F.col("first.root").alias("root_a"),
+        "key", F.col("first.node").alias("a"), F.col("first.root").alias("root_a")
     )
     tied = members.join(centres, "key").where(F.col("root") != F.col("root_a"))
-    return tied.where(_may_link("", "_a")).select("a", F.col("node").alias("b"))
+    return tied.select("a", F.col("node").alias("b"))
 
 
 def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -209,7 +219,7 @@ def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
     return stage(rooted.join(several, "key", "left_semi"), "apart")
 
 
-def _across(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _across(members: DataFrame, sets: DataFrame, traits: DataFrame) -> DataFrame:
     """Pairs of members of one bucket from different components that are similar enough.
 
     Members carry their set, at 31 bits a shingle and so with at least the true overlap but for
@@ -218,6 +228,7 @@ def _across(members: DataFrame, sets: DataFrame) -> DataFrame:
     """
     short = F.transform("hashes", lambda h: h.bitwiseAND(F.lit(2**31 - 1)).cast("int"))
     full = members.join(sets.select("node", "keys", short.alias("hashes")), "node")
+    full = full.join(traits, "node")
 
     def side(name: str) -> DataFrame:
         carried = ("node", "size", "bits", "root", "keys", "hashes")
@@ -252,9 +263,13 @@ def near_duplicates(
     named = classes.select(*[F.col(c).alias(f"{c}_of") for c in same], F.col("node"))
     equal = [F.col(c) == F.col(f"{c}_of") for c in same]
     heads = base.join(named, [F.col("doc_id") == F.col("node"), *equal])
-    members = heads.select(
-        F.explode("keys").alias("key"), "node", F.col("n_shingles").alias("size"), "bits"
+    heads = heads.dropDuplicates(["node", *[f"{c}_of" for c in same]]).select(
+        "node", F.col("n_shingles").alias("size"), "bits", "keys"
     )
+    heads = stage(heads, "heads")
+    # Bucket rows hold ids alone; sizes and bits are joined to the distinct pairs.
+    traits = heads.select("node", "size", "bits")
+    members = heads.select(F.explode("keys").alias("key"), "node")
     shared = stage(
         members.groupBy("key")
         .agg(F.min("node").alias("least"), F.max("node").alias("most"))
@@ -269,12 +284,12 @@ def near_duplicates(
     sets = stage(_full_sets(docs, nodes), "full-sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        return stage(_confirmed(stage(pairs.distinct(), "pairs"), sets), "links")
+        return stage(_confirmed(stage(_linkable(pairs, traits), "pairs"), sets), "links")
 
     links = confirmed(_stars(members, F.col("node")))
     apart = _apart(members, links)
     links = links.union(confirmed(_stars(apart, F.xxhash64("key", "node"))))
-    links = links.union(confirmed(_across(_apart(apart, links), sets)))
+    links = links.union(confirmed(_across(_apart(apart, links), sets, traits)))
     roots = component_roots(links)
 
     grouped = base.join(classes, same, "left").join(roots, "node", "left")
