@@ -43,9 +43,13 @@ _ENDS = {
     "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"},
 }
 _KEEPS = frozenset("ul ol dl table select menu".split())
+#: Elements whose content is never text.
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>|\Z", re.I) for name in ("script", "style")}
+#: Elements in which a ``/>`` ends any element, and which blocks other than a title end.
+_FOREIGN = frozenset(["svg", "math"])
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|iframe|svg|math|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style)(?=[\s/>])((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')?+)*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?/][^>]*>",
     re.S | re.I,
@@ -131,14 +135,25 @@ def parse(page: str) -> list[Node]:
             pieces.append(text)
             linked += len(text) * bool(in_link)
 
-    at = 0
-    for match in _TOKEN.finditer(page):
+    at, foreign = 0, ""
+    while match := _TOKEN.search(page, at):
         add_text(page[at : match.start()])
         at = match.end()
-        name = match.group(3)
+        raw = match.group(1)
+        if raw is not None:
+            if not (foreign and match.group(2).endswith("/")):
+                at = _RAW_END[raw.lower()].search(page, at).end()
+            continue
+        name = match.group(4)
         if name is None:
             continue
-        tag, closing = name.lower(), bool(match.group(2))
+        tag, closing = name.lower(), bool(match.group(3))
+        if tag in _FOREIGN:
+            if closing:
+                foreign = "" if tag == foreign else foreign
+            elif not foreign and not match.group(5).endswith("/"):
+                foreign = tag
+            continue
         if tag == "a":
             in_link = 0 if closing else 1
         elif tag in _SPACES:
@@ -151,7 +166,9 @@ def parse(page: str) -> list[Node]:
             if closing:
                 close(tag)
                 continue
-            if nodes[stack[-1]].tag == "p":
+            if tag != "title":
+                foreign = ""
+            if nodes[stack[-1]].tag == "p" and not foreign:
                 stack.pop()
             ends = _ENDS.get(tag, ())
             while ends and nodes[stack[-1]].tag not in _KEEPS and len(stack) > 1:
@@ -161,7 +178,7 @@ def parse(page: str) -> list[Node]:
                 if not last:
                     break
                 del stack[last[0] :]
-            hint = _hint(tag, match.group(4), nodes[stack[-1]].hint)
+            hint = _hint(tag, match.group(5), nodes[stack[-1]].hint)
             nodes.append(Node(stack[-1], tag, hint, features=[f"tag {tag}", *_hinted(hint)]))
             stack.append(len(nodes) - 1)
     add_text(page[at:])
