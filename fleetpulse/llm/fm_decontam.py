@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -247,7 +247,7 @@ def _searched(
 
 
 def _search(docs: DataFrame, phrases: Phrases) -> DataFrame:
-    """doc_id, a hash of the text, n_words, spans and items of one block of phrases."""
+    """doc_id, row, n_words, spans and items of one block of phrases."""
     shared = docs.sparkSession.sparkContext.broadcast(phrases)  # at most one block of phrases
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,21 +258,16 @@ def _search(docs: DataFrame, phrases: Phrases) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
-                    part.column("text_hash"),
+                    part.column("row"),
                     pa.array(counts, pa.int64()),
                     pa.array(spans, pa.list_(pa.list_(pa.int64()))),
                     pa.array(names, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "text_hash", "n_words", "spans", "items"],
+                names=["doc_id", "row", "n_words", "spans", "items"],
             )
 
-    schema = (
-        "doc_id long, text_hash long, n_words long, spans array<array<bigint>>, items array<bigint>"
-    )
-    rows = docs.select(
-        F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text"
-    )
-    return rows.mapInArrow(run, schema)
+    schema = "doc_id long, row long, n_words long, spans array<array<bigint>>, items array<bigint>"
+    return docs.mapInArrow(run, schema)
 
 
 @F.udf(ArrayType(ArrayType(LongType())), useArrow=True)
@@ -291,28 +286,31 @@ def contamination(docs: DataFrame, tests: DataFrame) -> DataFrame:
     occurrence of a window) and items (ids whose windows occur, ascending).
 
     Null and empty texts have no words; null and empty tests have no windows; repeated tests
-    count once; a null test id is marked but not named. Repeated documents each keep a row, as
-    long as the tests fit one block; in several blocks, equal rows share one.
+    count once, as do the texts of one id; a null test id is marked but not named. Every row
+    keeps a row, however many blocks the tests take: with several, rows are numbered and written
+    once, and the number brings together what each block finds in a row.
     """
-    docs = columns_as(docs, doc_id="doc_id", text="text")
-    found = [
-        _search(docs, phrases)
-        for phrases in _blocks(columns_as(tests, item_id="item_id", text="text"))
-    ]
-    if len(found) == 1:
-        return found[0].drop("text_hash")
-    every = stage(found[0], "contamination")
-    for block in found[1:]:
-        every = every.union(stage(block, "contamination"))
-    return (
-        every.groupBy("doc_id", "text_hash")
-        .agg(
+    docs = columns_as(docs, doc_id="doc_id", text="text").select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.monotonically_increasing_id().alias("row"),
+        "text",
+    )
+    blocks = _blocks(columns_as(tests, item_id="item_id", text="text"))
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        found = _search(docs, first)
+    else:
+        docs = stage(docs, "numbered")  # numbers differ from one reading to the next
+        every = stage(_search(docs, first), "contamination")
+        for block in chain([second], blocks):
+            every = every.union(stage(_search(docs, block), "contamination"))
+        found = every.groupBy("row", "doc_id").agg(
             F.max("n_words").alias("n_words"),
             _merged(F.flatten(F.collect_list("spans"))).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+            F.flatten(F.collect_list("items")).alias("items"),
         )
-        .drop("text_hash")
-    )
+    items = F.array_sort(F.array_distinct("items")).alias("items")
+    return found.select("doc_id", "n_words", "spans", items)
 
 
 def contamination_report(docs: DataFrame, tests: DataFrame) -> DataFrame:
