@@ -60,7 +60,7 @@ SCOPE = 120
 _NEEDS = {
     "access": r"AKIA[A-Z0-9]{14}",
     "hex": r"[0-9a-f]{16}",
-    "endpoint": r"[a-z]://[A-Za-z0-9]",
+    "endpoint": r"[a-z0-9+.-]://[A-Za-z0-9._~:/?#@!$&*+,;=%-]",
 }
 _SPANS = "array<struct<start: int, place: int, stop: int>>"
 
