@@ -30,6 +30,9 @@ _BIN_BITS, _ATTEMPTS = BINS.bit_length() - 1, 1024
 #: Bits kept of each bin's value, and how many bins of a pair may differ in them: at a
 #: similarity of 0.75, 30 differ on average; 56 is 5.4 standard deviations more.
 PLANES, MOST_DIFFERENT = 4, 56
+#: In sets of few shingles many bins borrow from one, so their bins differ together and the bound
+#: fails far more often: below so many shingles it is not asked, and sets are compared at once.
+SMALL = 64
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -166,8 +169,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _may_link(left: str, right: str) -> Column:
-    """Whether sizes and bin values allow a link: a bound that a true link fails once in ten
-    million pairs. Without it, every pair of a bucket would have to be confirmed."""
+    """Whether sizes and, of sets that are not small, bin values allow a link: a bound that a true
+    link of independent bins fails once in ten million pairs. Without it, every pair of a bucket
+    would have to be confirmed."""
     sizes = F.col(f"size{left}"), F.col(f"size{right}")
     near = F.least(*sizes) * 100 >= F.greatest(*sizes) * PERCENT
     words, different = BINS // 64, F.lit(0)
@@ -178,7 +182,7 @@ def _may_link(left: str, right: str) -> Column:
             a, b = F.col(f"bits{left}")[place], F.col(f"bits{right}")[place]
             differs = differs.bitwiseOR(a.bitwiseXOR(b))
         different = different + F.bit_count(differs)
-    return near & (different <= MOST_DIFFERENT)
+    return near & ((F.least(*sizes) < SMALL) | (different <= MOST_DIFFERENT))
 
 
 def _stars(members: DataFrame, order) -> DataFrame:
