@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from fleetpulse.llm.common import Cache, columns_as
+from fleetpulse.session import stage
 
 #: At most so many labelled rows of either class are learned from, taken by a hash of doc_id.
 SAMPLE = {0: 3000, 1: 1500}
@@ -156,7 +157,7 @@ def train(
 ) -> Model:
     """Learn from at most ``SAMPLE`` labelled rows that are not held out.
 
-    Null labels, null ids and null texts teach nothing; an id with several labels counts as
+    Labels without a text, null labels, null ids and null texts teach nothing; an id with several labels counts as
     toxic if one of them says so. Of rows that share an id, the first text in order teaches.
     """
     known = (
@@ -167,6 +168,7 @@ def train(
         .agg(F.max("toxic").alias("toxic"))
     )
     texts = columns_as(docs, doc_id=id_col, text=text_col).where(F.col("text").isNotNull())
+    known = stage(known.join(texts.select("doc_id"), "doc_id", "left_semi"), "known-labels")
     order = F.xxhash64("doc_id")
     rows = []
     for label, most in SAMPLE.items():
