@@ -104,11 +104,10 @@ def box_stats(df: DataFrame, col: str = "cpu_usage", key: str = "machine") -> Da
 
 
 def box_outliers(df: DataFrame, col: str = "cpu_usage", key: str = "machine") -> DataFrame:
-    """The rows beyond the whiskers, given back from their counts."""
-    counts = _value_counts(df, col, key)
-    fenced = counts.join(_fences(counts, col, key), key)
-    beyond = fenced.where(~F.col(col).between(F.col("_low"), F.col("_high")))
-    return beyond.select(key, col, F.explode(F.sequence(F.lit(1), "_n")).alias("_i")).drop("_i")
+    """The rows beyond the whiskers; counts of values give the fences only."""
+    fences = _fences(_value_counts(df, col, key), col, key).select(key, "_low", "_high")
+    fenced = df.select(key, col).join(fences, key)
+    return fenced.where(~F.col(col).between(F.col("_low"), F.col("_high"))).select(key, col)
 
 
 def violin_stats(df: DataFrame, col: str = "cpu_usage", key: str = "machine") -> DataFrame:
