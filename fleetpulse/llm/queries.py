@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetpulse.llm import (
+    conversation_blocks,
     fm_decontam,
     html_tree,
     language_kernel,
@@ -106,3 +107,12 @@ def op1_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return html_tree.main_texts(pages, html_tree.train(pages))
+
+
+@query
+def op11_conversation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_blocks.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_blocks.repair_report(rows)
+
+
+ORACLES["op11_conversation_blocks"] = conversation_blocks.sql()
