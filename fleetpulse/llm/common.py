@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,39 @@ def map_rows(
     return df.mapInArrow(run, schema)
 
 
+def summed(
+    df: DataFrame,
+    partials: Callable[[Iterator[pa.RecordBatch]], Iterable[np.ndarray]],
+    dtype=np.float64,
+    at_once: int = 32,
+) -> np.ndarray | None:
+    """The sum of the vectors that ``partials`` makes of each partition; None without any.
+
+    Each task adds up its own. The driver adds up those of at most ``at_once`` tasks; more are
+    added by tasks before, in groups.
+    """
+
+    def total(vectors: Iterable[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for vector in vectors:
+            held = vector.astype(dtype) if held is None else held + vector
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary())], ["part"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return total(partials(batches))
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return total(np.frombuffer(v.as_buffer(), dtype) for b in batches for v in b.column("part"))
+
+    found, parts = df.mapInArrow(first, "part binary"), df.rdd.getNumPartitions()
+    while parts > at_once:
+        parts = isqrt(parts)
+        found = found.repartition(parts).mapInArrow(again, "part binary")
+    held = [np.frombuffer(row.part, dtype) for row in found.collect()]
+    return np.sum(held, axis=0) if held else None
+
+
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

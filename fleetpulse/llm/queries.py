@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetpulse.llm import (
+    bilinear_lm,
     conversation_blocks,
     fm_decontam,
     html_tree,
@@ -17,6 +18,7 @@ from fleetpulse.llm import (
     secret_links,
     toxicity_mil,
     url_cascade,
+    whitening,
 )
 from fleetpulse.llm.bpe_codec import coded_documents
 from fleetpulse.llm.common import table
@@ -116,3 +118,13 @@ def op11_conversation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_conversation_blocks"] = conversation_blocks.sql()
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bilinear_lm.scores(table(spark, sf_dir, "documents"))
