@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from hashlib import md5
 
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.common import columns_as, once_per_worker, summed
+from fleetpulse.llm.common import columns_as, summed
 from fleetpulse.llm.toxicity_mil import is_held_out
 from fleetpulse.session import stage
 
@@ -174,8 +174,11 @@ class Model:
         last = (self.context * self.scale[0]) @ self.target.T
         before = (self.context * self.scale[1]) @ self.target.T + self.bias
         tops = last.max(1), before.max(1)
-        sums = np.exp(last - tops[0][:, None]) @ np.exp(before - tops[1][:, None]).T
-        return last, before, np.log(sums.astype(np.float64)) + tops[0][:, None] + tops[1][None, :]
+        normal = np.exp(last - tops[0][:, None]) @ np.exp(before - tops[1][:, None]).T
+        np.log(normal, out=normal)
+        normal += tops[0][:, None]
+        normal += tops[1][None, :]
+        return last, before, normal
 
 
 class Trainer:
@@ -266,8 +269,19 @@ class Coder:
         return np.where((places < 0) | (places >= rare), rare, places)
 
 
+_HELD: dict = {}
+
+
+def _latest(name: str, identity: str, make: Callable):
+    """What a worker made of the last shared value under ``name``; older ones are let go."""
+    if _HELD.get(name, (None, None))[0] != identity:
+        _HELD.pop(name, None)
+        _HELD[name] = identity, make()
+    return _HELD[name][1]
+
+
 def _coder(shared) -> Coder:
-    return once_per_worker(("lm-words", shared.id), lambda: Coder(shared.value))
+    return _latest("words", shared.id, lambda: Coder(shared.value))
 
 
 class _Shared:
@@ -361,8 +375,7 @@ def scored_parts(docs: DataFrame, words: _Shared, model: _Shared) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(words)
-        make = lambda: Scorer(words.value, coder, model.value)
-        scorer = once_per_worker(("lm-scorer", model.id), make)
+        scorer = _latest("scorer", model.id, lambda: Scorer(words.value, coder, model.value))
         for batch in batches:
             made = []
             for row, doc_id, held_out, text in zip(*(batch.column(i) for i in range(4)), strict=True):
