@@ -226,9 +226,7 @@ def _(spark, sf_dir):
     "SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY event_time) AS position FROM telemetry",
 )
 def _(spark, sf_dir):
-    placed = with_position(
-        telemetry(spark, sf_dir), ["machine_id"], "event_time", name="position", span=BUCKET
-    )
+    placed = with_position(telemetry(spark, sf_dir), ["machine_id"], "event_time", name="position")
     return cleaning.ordered(placed, ["machine_id", "event_time"])
 
 

@@ -51,26 +51,34 @@ def grid_slices(
 
 
 def with_position(
-    df: DataFrame, keys: Sequence[str], time: str, name: str = "_position", span: int = 86400
+    df: DataFrame, keys: Sequence[str], time: str, name: str = "_position", ties: Sequence[str] = ()
 ) -> DataFrame:
-    """Exact 1-based position of each row within its key, in time order.
+    """Exact 1-based position of each row within its key, in the order of time and ``ties``.
 
-    Rows are numbered inside ``span``-second slices and shifted by the sizes of the
-    earlier slices, so the only per-key list is one row per slice.
+    Rows are cut into ranges of (key, time, ties) that hold similar row counts, numbered
+    inside each range and shifted by the sizes of their key's earlier ranges. A key or an hour
+    with most of the rows is therefore cut like any other stretch; only rows that are equal in
+    key, time and ties stay together. A key's list of sizes is as long as its ranges.
     """
-    cell = grid_index(time, span)
-    sizes = df.groupBy(*keys, cell.alias(_SLICE)).agg(F.count(F.lit(1)).alias("_size"))
-    earlier = W.partitionBy(*keys).orderBy(_SLICE).rowsBetween(W.unboundedPreceding, -1)
+    ordering = [*keys, time, *ties]
+    ranged = value_ranges(df, ordering, ordering, per_task=8, oversample=32)
+    sizes = ranged.groupBy(*keys, _RANGE).agg(F.count(F.lit(1)).alias("_size"))
+    earlier = W.partitionBy(*keys).orderBy(_RANGE).rowsBetween(W.unboundedPreceding, -1)
     shifts = sizes.select(
-        *keys, _SLICE, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_shift")
-    )
-    inside = F.row_number().over(W.partitionBy(*keys, _SLICE).orderBy(time))
+        *[F.col(c).alias(f"_key{i}") for i, c in enumerate(keys)],
+        F.col(_RANGE).alias("_of"),
+        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_shift"),
+    )
+    inside = F.row_number().over(W.partitionBy(*keys, _RANGE).orderBy(time, *ties))
+    # Null keys have positions too.
+    same = F.col(_RANGE) == F.col("_of")
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"_key{i}"))
     return (
-        df.withColumn(_SLICE, cell)
-        .withColumn(name, inside)
-        .join(shifts, [*keys, _SLICE])
+        ranged.withColumn(name, inside)
+        .join(shifts, same)
         .withColumn(name, F.col(name) + F.col("_shift"))
-        .drop(_SLICE, "_shift")
+        .drop(_RANGE, "_of", "_shift", *[f"_key{i}" for i in range(len(keys))])
     )
 
 
@@ -79,12 +87,11 @@ def position_slices(
     keys: Sequence[str],
     time: str,
     back: int,
-    span: int = 86400,
     rows: int = SLICE_ROWS,
 ) -> tuple[DataFrame, WindowSpec]:
     """Like :func:`grid_slices` for rows at irregular times: frames count rows, not cells."""
     rows = max(rows, back)
-    placed = with_position(df, keys, time, span=span)
+    placed = with_position(df, keys, time)
     framed = _spread(placed, F.col("_position"), back, rows)
     return framed, W.partitionBy(*keys, _SLICE).orderBy("_position")
 
@@ -125,15 +132,22 @@ def range_count(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), 8)
 
 
-def value_ranges(df: DataFrame, unique: Sequence[str], order: Sequence[str]) -> DataFrame:
+def value_ranges(
+    df: DataFrame,
+    unique: Sequence[str],
+    order: Sequence[str],
+    per_task: int = 1,
+    oversample: int = 8,
+) -> DataFrame:
     """Number each row by the value range it falls into; ranges hold similar row counts.
 
     The cut points come from the rows with the smallest hash of their ``unique``
     columns. That choice is a function of the data alone, so a retried task sees the
     same ranges, and only a bounded list of cut points leaves the executors. The cut
-    points only balance the work: every row is kept.
+    points only balance the work: every row is kept. More candidates a cut (``oversample``)
+    make sizes more even, more ranges (``per_task``) even out what meets in one task.
     """
-    ranges, oversample = range_count(df), 8
+    ranges = range_count(df) * per_task
     probe = F.struct(*order)
     cuts = (
         df.select(probe.alias("_probe"), F.xxhash64(*unique).alias("_hash"))
