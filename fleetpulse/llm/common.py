@@ -97,6 +97,33 @@ class Cache(dict):
         return value
 
 
+class ByteMemo:
+    """Packed results by key in two generations, bounded in bytes; long keys are not kept."""
+
+    #: Bytes of an entry besides its key and value, and of the longest key kept.
+    ENTRY, LONGEST = 160, 256
+
+    def __init__(self, limit: int):
+        self._limit, self._used = limit, 0
+        self.new: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
+
+    def older(self, key: bytes) -> bytes | None:
+        """The result of a key that ``new`` lacks, which then holds it again."""
+        value = self._old.get(key)
+        if value is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key: bytes, value: bytes) -> None:
+        if len(key) > self.LONGEST:
+            return
+        self._used += len(key) + len(value) + self.ENTRY
+        if self._used > self._limit:
+            self._old, self.new, self._used = self.new, {}, 0
+        self.new[key] = value
+
+
 _PER_WORKER: dict = {}
 
 

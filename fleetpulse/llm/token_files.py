@@ -6,7 +6,8 @@ reader shares:
 * ``<name>.ids``: the ids of all its documents, back to back, as little-endian unsigned
   integers of the smallest width that holds the vocabulary (2 or 4 bytes);
 * ``<name>.docs``: little-endian 64-bit integers, three per document: its doc_id, the offset
-  of its first id and the offset after its last one, both counted in ids from the file's start.
+  of its first id and the offset after its last one, both counted in ids from the file's start
+  (a document without an id has the complement of its first offset).
 
 A manifest table lists the files in order. The base of each file in the whole corpus is the
 prefix sum of the token counts of the files before it. Each task attempt writes files with
@@ -28,25 +29,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.common import Cache, columns_as, once_per_worker
+from fleetpulse.llm.common import ByteMemo, columns_as, once_per_worker
 from fleetpulse.session import scratch_path, stage
 
-#: The doc_id written for a null one: no signed 64-bit id may use it.
-NULL_ID = -(2**63)
 _SPECIAL = "<|"
 #: First bytes of U+0300 to U+037F, which hold every mark that an ASCII letter composes with.
 _MARKS = (b"\xcc", b"\xcd")
 _MANIFEST = "part long, name string, docs long, tokens long"
+#: Bytes of each of two generations of memoised chunks, and chunks encoded in one call.
+_MEMO, _AT_ONCE = 96 * 2**20, 2000
 
 
 class ChunkEncoder:
     """Encode whole texts with a ``tokenizers`` file, white-space chunk by chunk.
 
     For a tokenizer that lower-cases, drops white space and never joins text across it, the
-    ids of a text are those of its ASCII-white-space chunks in order; so each distinct chunk is
-    encoded once per worker and memoised as packed bytes. ASCII letters are lower-cased before,
-    for more hits, unless a combining mark may follow them: the tokenizer composes first. Texts
-    that may hold a special token's string are encoded whole.
+    ids of a text are those of its ASCII-white-space chunks in order; so chunks are memoised as
+    packed bytes, and those of a text that the memo lacks are encoded in one call and told
+    apart by their offsets. ASCII letters are lower-cased before, for more hits, unless a
+    combining mark may follow them: the tokenizer composes first, and chunks with such marks
+    are encoded alone. Texts that may hold a special token's string are encoded whole.
     """
 
     def __init__(self, path: str, dtype: str):
@@ -54,31 +56,71 @@ class ChunkEncoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self._tokenizer, self._dtype = Tokenizer.from_file(path), dtype
-        self._cores = Cache(self._encode, 200_000)
-        self._chunks = Cache(self._chunk, 200_000)
-
-    def _encode(self, chunk: bytes) -> bytes:
-        encoded = self._tokenizer.encode(chunk.decode(), add_special_tokens=False)
-        return np.array(encoded.ids, self._dtype).tobytes()
-
-    def _chunk(self, chunk: bytes) -> bytes:
-        if chunk.isascii() and (lower := chunk.lower()) != chunk:
-            return self._chunks[lower]
-        # Between a letter or digit and a final run of full stops or commas a new piece starts.
-        core = chunk.rstrip(b".,")
-        if core != chunk and core[-1:].isalnum():
-            return self._cores[core] + self._cores[chunk[len(core) :]]
-        return self._encode(chunk)
+        self._memo = ByteMemo(_MEMO)
+
+    def _encode(self, text: str) -> bytes:
+        ids = self._tokenizer.encode(text, add_special_tokens=False).ids
+        return np.array(ids, self._dtype).tobytes()
+
+    def _apart(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, from one call for all."""
+        texts = [piece.decode() for piece in pieces]
+        starts = np.cumsum([0, *[len(text) + 1 for text in texts[:-1]]])
+        found = self._tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        ids = np.array(found.ids, self._dtype)
+        begins = np.fromiter((begin for begin, _ in found.offsets), np.int64, len(ids))
+        cuts = np.searchsorted(begins, starts[1:])
+        return [part.tobytes() for part in np.split(ids, cuts)]
+
+    def _learned(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks that the memo lacks."""
+        made, parts = {}, {}
+        for chunk in chunks:
+            lower = chunk.lower() if chunk.isascii() else chunk
+            # Between a letter or digit and a final run of full stops or commas a new piece starts.
+            core = lower.rstrip(b".,")
+            split = core != lower and core[-1:].isalnum()
+            parts[chunk] = (core, lower[len(core) :]) if split else (lower,)
+        needed = {piece for split in parts.values() for piece in split}
+        alone, joined = [], []
+        for piece in needed:
+            known = self._memo.new.get(piece) or self._memo.older(piece)
+            if known is not None:
+                made[piece] = known
+            elif any(mark in piece for mark in _MARKS):
+                alone.append(piece)
+            else:
+                joined.append(piece)
+        made |= {piece: self._encode(piece.decode()) for piece in alone}
+        for start in range(0, len(joined), _AT_ONCE):
+            group = joined[start : start + _AT_ONCE]
+            made |= zip(group, self._apart(group), strict=True)
+        for piece in (*alone, *joined):
+            self._memo.put(piece, made[piece])
+        whole = {chunk: b"".join([made[piece] for piece in split]) for chunk, split in parts.items()}
+        for chunk, ids in whole.items():
+            self._memo.put(chunk, ids)
+        return whole
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         if _SPECIAL in text:
-            return self._encode(text.encode())
+            return self._encode(text)
         data = text.encode()
         if not any(lead in data for lead in _MARKS):
             data = data.lower()
-        return b"".join(map(self._chunks.__getitem__, data.split()))
+        chunks, known = data.split(), self._memo.new.get
+        found = [known(chunk) for chunk in chunks]
+        lacking = [i for i, ids in enumerate(found) if ids is None]
+        if lacking:
+            wanted = {chunks[i] for i in lacking}
+            old = {chunk: self._memo.older(chunk) for chunk in wanted}
+            learned = self._learned({chunk for chunk, ids in old.items() if ids is None})
+            for i in lacking:
+                ids = old[chunks[i]]
+                found[i] = learned[chunks[i]] if ids is None else ids
+        return b"".join(found)
 
 
 def id_type(tokenizer_path: str) -> str:
@@ -122,11 +164,15 @@ def write_token_files(
                 ids_out = where.open_output_stream(f"{root}/{name}.ids")
                 docs_out = where.open_output_stream(f"{root}/{name}.docs")
             index = np.empty((batch.num_rows, 3), "<i8")
-            keys = batch.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+            held = batch.column("doc_id")
+            keys = held.fill_null(0).to_numpy(zero_copy_only=False)
+            nulls = held.is_null().to_numpy(zero_copy_only=False)
             for row, text in enumerate(batch.column("text")):
                 packed = encode(text.as_py()) + end
                 ids_out.write(packed)
-                index[row] = keys[row], written, written + len(packed) // width
+                # The start of a document without an id is written as its complement.
+                start = ~written if nulls[row] else written
+                index[row] = keys[row], start, written + len(packed) // width
                 written += len(packed) // width
             docs_out.write(index.tobytes())
             docs += batch.num_rows
@@ -139,7 +185,10 @@ def write_token_files(
 
     rows = columns_as(docs, doc_id=id_col, text=text_col)
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
-    ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows that share an id, or have none, are spread by the beginnings of their texts.
+    ranged = rows.repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions(
+        "doc_id", "text"
+    )
     files = stage(ranged.mapInArrow(write, _MANIFEST), "token-files")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return files.select(
@@ -184,19 +233,22 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
             for file in batch.to_pylist():
                 tokens = TokenFile(file["folder"], file["name"], file["dtype"])
                 for block in np.array_split(tokens.index, len(tokens.index) // 10_000 + 1):
+                    nameless = block[:, 1] < 0
+                    begins = np.where(nameless, ~block[:, 1], block[:, 1])
                     sums = [
                         zlib.crc32(tokens.ids(lo, hi).astype("<u4").tobytes())
-                        for _, lo, hi in block.tolist()
+                        for lo, hi in zip(begins.tolist(), block[:, 2].tolist(), strict=True)
                     ]
-                    keys = pa.array(block[:, 0], pa.int64(), mask=block[:, 0] == NULL_ID)
-                    starts = pa.array(block[:, 1] + file["base"])
-                    counts = pa.array(block[:, 2] - block[:, 1])
+                    keys = pa.array(block[:, 0], pa.int64(), mask=nameless)
+                    starts = pa.array(begins + file["base"])
+                    counts = pa.array(block[:, 2] - begins)
                     yield pa.RecordBatch.from_arrays(
                         [keys, starts, counts, pa.array(sums, pa.int64())],
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    spread = manifest.repartition(F.col("name"))
+    # A number of partitions, so that few small manifest rows do not end up in one task.
+    spread = manifest.repartition(max(1, manifest.count()), F.col("name"))
     return spread.mapInArrow(
         read, "doc_id long, start long, n_tokens long, ids_crc32 long"
     )
