@@ -37,7 +37,7 @@ _SPECIAL = "<|"
 _MARKS = (b"\xcc", b"\xcd")
 _MANIFEST = "part long, name string, docs long, tokens long"
 #: Bytes of each of two generations of memoised chunks, and chunks encoded in one call.
-_MEMO, _AT_ONCE = 96 * 2**20, 2000
+_MEMO, _AT_ONCE = 160 * 2**20, 2000
 
 
 class ChunkEncoder:
@@ -69,8 +69,9 @@ class ChunkEncoder:
         found = self._tokenizer.encode(" ".join(texts), add_special_tokens=False)
         ids = np.array(found.ids, self._dtype)
         begins = np.fromiter((begin for begin, _ in found.offsets), np.int64, len(ids))
-        cuts = np.searchsorted(begins, starts[1:])
-        return [part.tobytes() for part in np.split(ids, cuts)]
+        cuts = (np.searchsorted(begins, starts[1:]) * ids.itemsize).tolist()
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *cuts], [*cuts, len(data)], strict=True)]
 
     def _learned(self, chunks: set[bytes]) -> dict[bytes, bytes]:
         """Ids of chunks that the memo lacks."""
@@ -97,10 +98,11 @@ class ChunkEncoder:
             made |= zip(group, self._apart(group), strict=True)
         for piece in (*alone, *joined):
             self._memo.put(piece, made[piece])
-        whole = {chunk: b"".join([made[piece] for piece in split]) for chunk, split in parts.items()}
-        for chunk, ids in whole.items():
-            self._memo.put(chunk, ids)
-        return whole
+        for chunk, split in parts.items():
+            if chunk not in made:
+                made[chunk] = b"".join([made[piece] for piece in split])
+                self._memo.put(chunk, made[chunk])
+        return made
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -110,16 +112,13 @@ class ChunkEncoder:
         data = text.encode()
         if not any(lead in data for lead in _MARKS):
             data = data.lower()
-        chunks, known = data.split(), self._memo.new.get
-        found = [known(chunk) for chunk in chunks]
-        lacking = [i for i, ids in enumerate(found) if ids is None]
-        if lacking:
-            wanted = {chunks[i] for i in lacking}
-            old = {chunk: self._memo.older(chunk) for chunk in wanted}
-            learned = self._learned({chunk for chunk, ids in old.items() if ids is None})
-            for i in lacking:
-                ids = old[chunks[i]]
-                found[i] = learned[chunks[i]] if ids is None else ids
+        chunks = data.split()
+        found = list(map(self._memo.new.get, chunks))
+        if None in found:
+            lacking = {chunk for chunk, ids in zip(chunks, found, strict=True) if ids is None}
+            old = {chunk: ids for chunk in lacking if (ids := self._memo.older(chunk)) is not None}
+            made = self._learned(lacking - old.keys()) | old
+            found = [made[chunk] if ids is None else ids for chunk, ids in zip(chunks, found, strict=True)]
         return b"".join(found)
 
 
