@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.common import columns_as, map_rows
+from fleetpulse.llm.common import columns_as, map_rows, stage_by
 from fleetpulse.llm.components import component_roots
 from fleetpulse.session import stage
 
@@ -270,7 +270,7 @@ def near_duplicates(
         members.join(shared, "key", "left_semi").withColumn("root", F.col("node")), "members"
     )
     nodes = members.select("node").distinct()
-    sets = stage(_full_sets(docs, nodes), "full-sets")
+    sets = stage_by(_full_sets(docs, nodes), "node", "full-sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         return stage(_confirmed(stage(pairs.distinct(), "pairs"), sets), "links")
@@ -306,7 +306,7 @@ def drop_near_duplicates(
     single, repeated = ids.where("n = 1"), ids.where("n > 1")
     once = docs.join(single, key.cast("long") == single["doc_id"], "left_semi")
     again = docs.join(repeated, key.cast("long") == repeated["doc_id"], "left_semi").select(
-        key.alias("key"), text.alias("order"), F.struct(*docs.columns).alias("doc")
+        key.alias("key"), text.alias("order"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc")
     )
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.asc_nulls_last("order")))
     first = again.withColumn("place", place).where("place = 1").select("doc.*")
