@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from math import isqrt
 
@@ -11,8 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetpulse.session import scratch_path
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,17 +20,6 @@ def columns_as(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(target) for target, source in names.items()])
 
 
-def stage_by(df: DataFrame, key: str, label: str) -> DataFrame:
-    """Write ``df`` once in buckets of ``key`` to the shared folder: joins on the key then move
-    the other side only."""
-    spark = df.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"{label.replace('-', '_')}_{uuid.uuid4().hex}"
-    writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
-    writer.option("path", scratch_path(spark, label)).saveAsTable(name)
-    return spark.table(name)
-
-
 def map_rows(
     df: DataFrame, schema: str, rows_of: Callable[[dict[str, list]], dict[str, list]]
 ) -> DataFrame:

@@ -1,20 +1,6 @@
-"""Sets of near-duplicate candidates: written by node, and columns with dots."""
+"""Near-duplicate removal on tables whose column names hold dots."""
 
 from fleetpulse.llm import minhash_oph
-from fleetpulse.llm.common import stage_by
-
-
-def test_joins_on_the_key_move_the_other_side_only(spark):
-    left = stage_by(spark.range(1000).selectExpr("id AS node", "id % 3 AS x"), "node", "by-node")
-    broadcast = "spark.sql.autoBroadcastJoinThreshold"
-    spark.conf.set(broadcast, "-1")
-    try:
-        named = left.selectExpr("node AS a", "x")
-        joined = spark.range(0, 2000, 7).withColumnRenamed("id", "a").join(named, "a")
-        plan = joined._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("Exchange") == 1 and joined.count() == 143
-    finally:
-        spark.conf.unset(broadcast)
 
 
 def test_column_names_with_dots_pass_through(spark):
