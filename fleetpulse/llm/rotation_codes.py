@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,9 @@ def table_shape(classes: int) -> tuple[int, int]:
     return bits, math.ceil(math.log(1 - RECALL) / math.log1p(-(agree**bits)))
 
 
+@lru_cache(maxsize=4)
 def rotation(size: int, number: int) -> np.ndarray:
-    """A random orthogonal matrix, the same in every task."""
+    """A random orthogonal matrix, the same in every task; the last ones used are kept."""
     normal = np.random.default_rng((size, number, 97)).normal(size=(size, size))
     q, r = np.linalg.qr(normal)
     return q * np.sign(np.diag(r))
