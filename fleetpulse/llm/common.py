@@ -20,6 +20,15 @@ def columns_as(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(target) for target, source in names.items()])
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that no later result reads."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def map_rows(
     df: DataFrame, schema: str, rows_of: Callable[[dict[str, list]], dict[str, list]]
 ) -> DataFrame:

@@ -7,8 +7,9 @@ names, the same order for every document. Bands of ``ROWS`` bins give buckets.
 Documents with equal sets form one class and only its smallest id goes on. Candidates come as
 stars: every bucket ties its members to one of them, so pairs grow with the members. Links are
 confirmed on full sets. Buckets whose members then still lie in several components are tied
-again around other centres, and what stays apart is compared across components only, so no
-link that shares a bucket is lost and members of one component are never paired.
+again around other centres, and what stays apart is decided exactly in pairs of blocks
+(``set_blocks``), across components only, so no link that shares a bucket is lost, no pairs of a
+bucket are put out and members of one component are never compared.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.common import columns_as, map_rows
+from fleetpulse.llm.common import columns_as, discard, map_rows
 from fleetpulse.llm.components import component_roots
+from fleetpulse.llm.set_blocks import bitmap, links_across
 from fleetpulse.session import stage
 
 SHINGLE, PERCENT = 5, 75
@@ -27,12 +29,9 @@ BINS, ROWS = 128, 4
 #: Bits of the hash that number its bin, and attempts of an empty bin before the nearest one.
 _BIN_BITS, _ATTEMPTS = BINS.bit_length() - 1, 1024
 
-#: Bits kept of each bin's value, and how many bins of a pair may differ in them: at a
-#: similarity of 0.75, 30 differ on average; 56 is 5.4 standard deviations more.
+#: Bits kept of each bin's value, and in how many bins a star's pair may differ to be confirmed at
+#: once: at a similarity of 0.75, 30 differ on average. Other pairs are decided afterwards.
 PLANES, MOST_DIFFERENT = 4, 56
-#: In sets of few shingles many bins borrow from one, so their bins differ together and the bound
-#: fails far more often: below so many shingles it is not asked, and sets are compared at once.
-SMALL = 64
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -117,6 +116,12 @@ def _signed(values: np.ndarray) -> list[int]:
     return values.view(np.int64).tolist()
 
 
+def _fingerprint(hashes: np.ndarray) -> list[int]:
+    """128 bits that tell sets apart."""
+    sums = [_mixed(hashes + np.uint64(salt)).sum(dtype=np.uint64) for salt in (1, 2)]
+    return _signed(np.array(sums))
+
+
 def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, a 128-bit fingerprint of the set (one, two), bucket keys and bits."""
 
@@ -125,10 +130,7 @@ def sketch(docs: DataFrame) -> DataFrame:
         made |= {"keys": [], "bits": []}
         for text in batch["text"]:
             hashes = shingle_hashes(text)
-            sums = np.array(
-                [_mixed(hashes + np.uint64(salt)).sum(dtype=np.uint64) for salt in (1, 2)]
-            )
-            one, two = _signed(sums)
+            one, two = _fingerprint(hashes)
             made["n_shingles"].append(len(hashes))
             made["one"].append(one)
             made["two"].append(two)
@@ -144,18 +146,25 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The full sets of the named documents, with their bucket keys."""
+    """The full sets of the named documents and their bitmaps; one row if an id repeats a set."""
 
     def rows_of(batch: dict[str, list]) -> dict[str, list]:
         hashes = [shingle_hashes(text) for text in batch["text"]]
+        bitmaps = [bitmap(h) for h in hashes]
+        prints = [_fingerprint(h) for h in hashes]
         return {
             "node": batch["doc_id"],
+            "size": [len(h) for h in hashes],
             "hashes": [_signed(h) for h in hashes],
-            "keys": [_signed(sketched(h)[0]) if len(h) else [] for h in hashes],
+            "bitmap": bitmaps,
+            "bytes": [len(b) for b in bitmaps],
+            "one": [one for one, _ in prints],
+            "two": [two for _, two in prints],
         }
 
     wanted = docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi")
-    return map_rows(wanted, "node long, hashes array<bigint>, keys array<bigint>", rows_of)
+    schema = "node long, size long, hashes array<bigint>, bitmap binary, bytes long, one long, two long"
+    return map_rows(wanted, schema, rows_of).dropDuplicates(["node", "one", "two"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -168,74 +177,56 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.where(both * 100 >= union * PERCENT).select("a", "b")
 
 
-def _may_link(left: str, right: str) -> Column:
-    """Whether sizes and, of sets that are not small, bin values allow a link: a bound that a true
-    link of independent bins fails once in ten million pairs. Without it, every pair of a bucket
-    would have to be confirmed."""
-    sizes = F.col(f"size{left}"), F.col(f"size{right}")
+def _hopeful(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and bin values speak for a link.
+
+    Only stars ask this. What it leaves out loses nothing: documents that stars do not tie are
+    compared afterwards, without this bound.
+    """
+
+    def side(name: str) -> DataFrame:
+        return heads.select(
+            F.col("node").alias(name),
+            F.col("size").alias(f"size_{name}"),
+            F.col("bits").alias(f"bits_{name}"),
+        )
+
+    joined = pairs.join(side("b"), "b").join(side("a"), "a")
+    sizes = F.col("size_a"), F.col("size_b")
     near = F.least(*sizes) * 100 >= F.greatest(*sizes) * PERCENT
     words, different = BINS // 64, F.lit(0)
     for word in range(words):
         differs = F.lit(0).cast("long")
         for plane in range(PLANES):
             place = plane * words + word
-            a, b = F.col(f"bits{left}")[place], F.col(f"bits{right}")[place]
-            differs = differs.bitwiseOR(a.bitwiseXOR(b))
+            differs = differs.bitwiseOR(F.col("bits_a")[place].bitwiseXOR(F.col("bits_b")[place]))
         different = different + F.bit_count(differs)
-    return near & ((F.least(*sizes) < SMALL) | (different <= MOST_DIFFERENT))
+    return joined.where(near & (different <= MOST_DIFFERENT)).select("a", "b")
 
 
-def _stars(members: DataFrame, order) -> DataFrame:
+def _stars(members: DataFrame, order: Column) -> DataFrame:
     """Each bucket's members tied to the one that comes first in ``order``."""
-    first = F.min(F.struct(order.alias("order"), "node", "size", "bits", "root")).alias("first")
-    centres = stage(members.groupBy("key").agg(first), "centres").select(
-        "key",
-        F.col("first.node").alias("a"),
-        F.col("first.size").alias("size_a"),
-        F.col("first.bits").alias("bits_a"),
-        F.col("first.root").alias("root_a"),
+    first = F.min(F.struct(order.alias("order"), "node", "root")).alias("first")
+    centres = members.groupBy("key").agg(first).select(
+        "key", F.col("first.node").alias("a"), F.col("first.root").alias("root_a")
     )
     tied = members.join(centres, "key").where(F.col("root") != F.col("root_a"))
-    return tied.where(_may_link("", "_a")).select("a", F.col("node").alias("b"))
+    return tied.select("a", F.col("node").alias("b")).distinct()
 
 
 def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
     """Members with their components, of the buckets that hold more than one component."""
     rooted = members.drop("root").join(component_roots(links), "node", "left")
     rooted = stage(rooted.withColumn("root", F.coalesce("root", "node")), "rooted")
-    several = stage(
+    several = (
         rooted.groupBy("key")
         .agg(F.min("root").alias("least"), F.max("root").alias("most"))
         .where("least < most")
-        .select("key"),
-        "mixed-buckets",
+        .select("key")
     )
-    return stage(rooted.join(several, "key", "left_semi"), "apart")
-
-
-def _across(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of members of one bucket from different components that are similar enough.
-
-    Members carry their set, at 31 bits a shingle and so with at least the true overlap but for
-    one, and the join itself compares them: it puts out next to nothing but links. A pair is
-    compared in the first bucket that it shares.
-    """
-    short = F.transform("hashes", lambda h: h.bitwiseAND(F.lit(2**31 - 1)).cast("int"))
-    full = members.join(sets.select("node", "keys", short.alias("hashes")), "node")
-
-    def side(name: str) -> DataFrame:
-        carried = ("node", "size", "bits", "root", "keys", "hashes")
-        return full.select("key", *[F.col(c).alias(f"{c}_{name}") for c in carried])
-
-    both = F.size(F.array_intersect("hashes_a", "hashes_b")) + 1
-    pairs = side("a").join(side("b"), "key").where(
-        (F.col("node_a") < F.col("node_b"))
-        & (F.col("root_a") != F.col("root_b"))
-        & _may_link("_a", "_b")
-        & (F.array_intersect("keys_a", "keys_b")[0] == F.col("key"))
-        & (both * 100 >= (F.col("size_a") + F.col("size_b") - both) * PERCENT)
-    )
-    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    apart = stage(rooted.join(several, "key", "left_semi"), "apart")
+    discard(rooted)
+    return apart
 
 
 def near_duplicates(
@@ -249,36 +240,46 @@ def near_duplicates(
     """
     docs = columns_as(docs, doc_id=id_col, text=text_col)
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    base = stage(sketch(docs), "sketches")
+    whole = stage(sketch(docs), "sketches")
     same = ["n_shingles", "one", "two"]
-    classes = base.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("node"))
+    classes = whole.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("node"))
     classes = stage(classes.where(F.col("node").isNotNull()), "classes")
     named = classes.select(*[F.col(c).alias(f"{c}_of") for c in same], F.col("node"))
     equal = [F.col(c) == F.col(f"{c}_of") for c in same]
-    heads = base.join(named, [F.col("doc_id") == F.col("node"), *equal])
-    members = heads.select(
-        F.explode("keys").alias("key"), "node", F.col("n_shingles").alias("size"), "bits"
-    )
-    shared = stage(
+    heads = whole.join(named, [F.col("doc_id") == F.col("node"), *equal])
+    heads = stage(heads.select("node", F.col("n_shingles").alias("size"), "keys", "bits"), "heads")
+    base = stage(whole.select("doc_id", *same), "prints")
+    discard(whole)
+    members = heads.select(F.explode("keys").alias("key"), "node")
+    shared = (
         members.groupBy("key")
         .agg(F.min("node").alias("least"), F.max("node").alias("most"))
         .where("least < most")
-        .select("key"),
-        "shared-buckets",
-    )
-    members = stage(
-        members.join(shared, "key", "left_semi").withColumn("root", F.col("node")), "members"
+        .select("key")
     )
-    nodes = members.select("node").distinct()
+    shared = stage(shared, "shared-buckets")
+    members = stage(members.join(shared, "key", "left_semi").distinct(), "members")
+    discard(shared)
+    nodes = stage(members.select("node").distinct(), "nodes")
     sets = stage(_full_sets(docs, nodes), "full-sets")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return stage(_confirmed(stage(pairs.distinct(), "pairs"), sets), "links")
-
-    links = confirmed(_stars(members, F.col("node")))
-    apart = _apart(members, links)
+    discard(nodes)
+
+    def confirmed(stars: DataFrame) -> DataFrame:
+        pairs = stage(_hopeful(stars, heads), "pairs")
+        links = stage(_confirmed(pairs, sets), "links")
+        discard(pairs)
+        return links
+
+    rooted = members.withColumn("root", F.col("node"))
+    links = confirmed(_stars(rooted, F.col("node")))
+    apart = _apart(rooted, links)
+    discard(members)
     links = links.union(confirmed(_stars(apart, F.xxhash64("key", "node"))))
-    links = links.union(confirmed(_across(_apart(apart, links), sets)))
+    discard(heads)
+    left = _apart(apart, links)
+    discard(apart)
+    links = links.union(links_across(left, sets, PERCENT))
+    discard(left, sets)
     roots = component_roots(links)
 
     grouped = base.join(classes, same, "left").join(roots, "node", "left")
