@@ -61,7 +61,15 @@ def clear_staged(spark: SparkSession) -> None:
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and read it back, so that later branches prune columns from
-    Parquet instead of repeating the work, and a lost executor costs no recomputation."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    Parquet instead of repeating the work, and a lost executor costs no recomputation.
+
+    Nothing reads the shuffles of the write after it, so their files go when it ends.
+    """
+    spark, cleanup = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = scratch_path(spark, label), spark.conf.get(cleanup)
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
+    return spark.read.schema(df.schema).parquet(path)
