@@ -51,7 +51,9 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style)(?=[\s/>])((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')?+)*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*>",
+    r"|<[!?/][^>]*>"
+    # A start tag whose quote is never closed ends at the next ``>``.
+    r"|<([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S | re.I,
 )
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -71,6 +73,10 @@ _AWAY_TAGS = frozenset(
 )
 _MAIN = frozenset("articlebody article content main post entry story".split())
 _MAIN_TAGS = frozenset(["article", "main"])
+#: Names with these words tell what a page has or a state, not what the element is.
+_STATES = frozenset("active disabled enabled has hidden is no not on show with without".split())
+#: Elements that hold whatever the page holds: their names say nothing about one side.
+_WHOLE = frozenset(["html", "body"])
 
 
 @dataclass
@@ -84,10 +90,17 @@ class Node:
 
 def _hint(tag: str, attributes: str, around: str) -> str:
     """The side that the element itself or else the nearest hint around it stands for; the
-    header of a main element holds its title."""
+    header of a main element holds its title. A main element is away only by a whole name."""
+    if tag in _WHOLE:
+        return around
     terms: set[str] = set()
     for value in _NAMED.findall(attributes) if attributes else ():
-        terms.update(_TERMS.findall(value.lower()))
+        for name in value.lower().strip("\"'").split():
+            words = _TERMS.findall(name)
+            if tag in _MAIN_TAGS:
+                terms.add(name)
+            elif not _STATES.intersection(words):
+                terms.update(words)
     if tag == "header" and around == "main":
         return "main"
     if tag in _AWAY_TAGS or terms & _AWAY:
@@ -103,6 +116,7 @@ def parse(page: str) -> list[Node]:
     """The nodes of a page in document order, the root first; text runs are leaves ``#text``."""
     nodes = [Node(-1, "#root", "none")]
     stack, pieces = [0], []
+    is_open: Counter = Counter()
     linked = in_link = 0
 
     def flush() -> None:
@@ -121,12 +135,17 @@ def parse(page: str) -> list[Node]:
         pieces.clear()
         linked = 0
 
+    def leave(depth: int) -> None:
+        is_open.subtract([nodes[at].tag for at in stack[depth:]])
+        del stack[depth:]
+
     def close(tag: str) -> None:
         """Leave the innermost open ``tag``, and what is open in it."""
-        for depth in range(len(stack) - 1, 0, -1):
-            if nodes[stack[depth]].tag == tag:
-                del stack[depth:]
-                return
+        if is_open[tag] > 0:
+            depth = len(stack) - 1
+            while nodes[stack[depth]].tag != tag:
+                depth -= 1
+            leave(depth)
 
     def add_text(raw: str) -> None:
         nonlocal linked
@@ -144,14 +163,15 @@ def parse(page: str) -> list[Node]:
             if not (foreign and match.group(2).endswith("/")):
                 at = _RAW_END[raw.lower()].search(page, at).end()
             continue
-        name = match.group(4)
+        name = match.group(4) or match.group(6)
         if name is None:
             continue
         tag, closing = name.lower(), bool(match.group(3))
+        attributes = match.group(5) or match.group(7) or ""
         if tag in _FOREIGN:
             if closing:
                 foreign = "" if tag == foreign else foreign
-            elif not foreign and not match.group(5).endswith("/"):
+            elif not foreign and not attributes.endswith("/"):
                 foreign = tag
             continue
         if tag == "a":
@@ -169,16 +189,16 @@ def parse(page: str) -> list[Node]:
             if tag != "title":
                 foreign = ""
             if nodes[stack[-1]].tag == "p" and not foreign:
-                stack.pop()
+                leave(len(stack) - 1)
             ends = _ENDS.get(tag, ())
-            while ends and nodes[stack[-1]].tag not in _KEEPS and len(stack) > 1:
-                open_tags = [nodes[s].tag for s in stack]
-                kept = max((i for i, t in enumerate(open_tags) if t in _KEEPS), default=0)
-                last = [i for i in range(kept + 1, len(stack)) if open_tags[i] in ends]
-                if not last:
-                    break
-                del stack[last[0] :]
-            hint = _hint(tag, match.group(5), nodes[stack[-1]].hint)
+            if any(is_open[end] > 0 for end in ends):
+                depth = outer = len(stack)
+                while depth > 1 and nodes[stack[depth - 1]].tag not in _KEEPS:
+                    depth -= 1
+                    outer = depth if nodes[stack[depth]].tag in ends else outer
+                leave(outer)
+            hint = _hint(tag, attributes, nodes[stack[-1]].hint)
+            is_open[tag] += 1
             nodes.append(Node(stack[-1], tag, hint, features=[f"tag {tag}", *_hinted(hint)]))
             stack.append(len(nodes) - 1)
     add_text(page[at:])
