@@ -82,8 +82,12 @@ def model_bytes(ranks: dict[bytes, int]) -> bytes:
     return b"".join(pieces) + _block(_TRAINER, trainer) + _block(_NORMALIZER, normalizer)
 
 
+#: Characters of the longest parts that are memoised: texts without spaces are one part each.
+LONGEST = 64
+
+
 class Codec:
-    """Encode texts to ids and decode ids to bytes, with a bounded memo of text parts."""
+    """Encode texts to ids and decode ids to bytes, with a bounded memo of short text parts."""
 
     def __init__(self, rank_path: str, pattern: str):
         import regex
@@ -114,7 +118,13 @@ class Codec:
     def _part(self, part: str, text: str) -> tuple[bytes, bytes] | bool:
         if not part or part[0].isspace() or part[-1].isspace():
             return False
-        return self._joined([self._pretokens[p] for p in self._split(text)])
+        return self._whole(text)
+
+    def _whole(self, text: str) -> tuple[bytes, bytes]:
+        known, make = self._pretokens, self._pretoken
+        return self._joined(
+            [known[p] if len(p) <= LONGEST else make(p) for p in self._split(text)]
+        )
 
     @staticmethod
     def _joined(found: list[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
@@ -129,10 +139,10 @@ class Codec:
         if not text:
             return b"", b""
         first, *rest = text.split(" ")
-        found = [self._first[first], *map(self._spaced.__getitem__, rest)]
-        if False in found:
-            found = [self._pretokens[p] for p in self._split(text)]
-        return self._joined(found)
+        spaced, part = self._spaced, self._part
+        found = [self._first[first] if len(first) <= LONGEST else part(first, first)]
+        found += [spaced[p] if len(p) <= LONGEST else part(p, f" {p}") for p in rest]
+        return self._whole(text) if False in found else self._joined(found)
 
 
 def coded_documents(
