@@ -6,10 +6,13 @@ blocks is the number of n-grams that both hold, over the root of the product of
 Landmark blocks give the Nystroem map of this kernel, on which kernel ridge regression is fit,
 one language against the rest. As the kernel is a product of presence vectors, landmarks and
 regression fold into one matrix, and a batch of blocks is scored by one matrix product.
+
+Texts of any length are read in runs of blocks, so a text takes no more memory than a run does.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,47 +28,80 @@ PER_LANGUAGE = 300
 BLOCKS, LANDMARKS = 4000, 400
 SLOTS, BLOCK, RIDGE = 2**14, 1500, 1e-2
 UNKNOWN = "und"
+#: Characters of the longest n-gram.
+LONGEST = 3
 _SPACE = 32
-_AT_ONCE = 256
+#: Blocks of a run, and characters of a text that are lower-cased at once.
+_AT_ONCE, _PIECE = 256, 1 << 18
 
 
 def _letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
+def _parts(text: str) -> Iterator[np.ndarray]:
+    """The characters of a text, piece by piece."""
+    space, started, before = np.array([_SPACE], np.uint32), False, False
+    for start in range(0, len(text), _PIECE):
+        lower = text[start : start + _PIECE].lower()
+        codes = np.frombuffer(lower.encode("utf-32-le"), np.uint32)
+        letter = once_per_worker("letters", _letters)[codes]
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]
+        keep[0] |= before
+        before = bool(letter[-1])
+        if not started and letter.any():
+            started = True
+            yield space
+        yield np.where(letter, codes, space)[keep]
+    if started:
+        yield space
+
+
 def characters(text: str) -> np.ndarray:
-    """Code points of the lower-cased text; anything but letters becomes one space."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
-    letter = once_per_worker("letters", _letters)[codes]
-    if not letter.any():
-        return np.empty(0, np.uint32)
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]
-    space = np.array([_SPACE], np.uint32)
-    return np.concatenate([space, np.where(letter, codes, space)[keep], space])
-
-
-def ngram_slots(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The slot and the block number of every n-gram that starts at each character."""
-    blocks = np.arange(len(chars)) // BLOCK
+    """Code points of the lower-cased text; a letter is kept, a run of others becomes one space."""
+    return np.concatenate([np.empty(0, np.uint32), *_parts(text)])
+
+
+def _runs(text: str) -> Iterator[tuple[np.ndarray, int]]:
+    """Runs of whole blocks of a text's characters, each with the few characters after it that its
+    last n-grams reach into, and the number of characters without those."""
+    own, held, size = _AT_ONCE * BLOCK, [], 0
+    for part in _parts(text):
+        held.append(part)
+        size += len(part)
+        if size >= own + LONGEST - 1:
+            chars = np.concatenate(held)
+            while len(chars) >= own + LONGEST - 1:
+                yield chars[: own + LONGEST - 1], own
+                chars = chars[own:]
+            held, size = [chars], len(chars)
+    if size:
+        yield np.concatenate(held), size
+
+
+def ngram_slots(chars: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+    """The slot and the block number of every n-gram that starts at one of the first ``own``
+    characters."""
+    blocks = np.arange(own) // BLOCK
     code, slots, places = np.zeros(len(chars), np.uint32), [], []
-    for n in range(3):
+    for n in range(LONGEST):
         code = code[: len(chars) - n] * np.uint32(0x9E3779B1) + chars[n:] + np.uint32(n + 1)
         mixed = (code ^ (code >> np.uint32(15))) * np.uint32(0x85EBCA6B)
-        slots.append(mixed >> np.uint32(32 - SLOTS.bit_length() + 1))
+        slots.append(mixed[:own] >> np.uint32(32 - SLOTS.bit_length() + 1))
         places.append(blocks[: len(code)])
     return np.concatenate(slots), np.concatenate(places)
 
 
-def presence(chars: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The presence rows of all blocks of some texts, and the text that each row is of."""
-    counts = np.array([-(-len(c) // BLOCK) for c in chars])
+def presence(runs: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The presence rows of all blocks of some runs, and the run that each row is of."""
+    counts = np.array([-(-own // BLOCK) for _, own in runs])
     bases = np.concatenate([[0], np.cumsum(counts)])
     rows = np.zeros((bases[-1], SLOTS), np.float32)
-    for base, text in zip(bases, chars, strict=False):
-        slots, blocks = ngram_slots(text)
+    for base, (chars, own) in zip(bases, runs, strict=False):
+        slots, blocks = ngram_slots(chars, own)
         rows[base + blocks, slots] = 1
-    return rows, np.repeat(np.arange(len(chars)), counts)
+    return rows, np.repeat(np.arange(len(runs)), counts)
 
 
 @dataclass(frozen=True)
@@ -73,41 +109,38 @@ class Model:
     languages: list[str]
     matrix: np.ndarray
 
-    def values(self, chars: list[np.ndarray]) -> np.ndarray:
-        """The mean decision values of each text's blocks, weighted by their n-grams."""
-        total = np.zeros((len(chars), len(self.languages)))
-        weight = np.zeros(len(chars))
-        rows, owner = presence(chars)
-        size = rows.sum(1)
-        found = (rows @ self.matrix) / np.sqrt(size)[:, None]
-        np.add.at(total, owner, found * size[:, None])
-        np.add.at(weight, owner, size)
-        return total / weight[:, None]
-
     def decide(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """The language and its share of a softmax over the decision values."""
-        result = [(UNKNOWN, 0.0)] * len(texts)
-        waiting: list[tuple[int, np.ndarray]] = []
+        """The language and its share of a softmax over the decision values, which are the mean
+        of a text's blocks, weighted by their n-grams."""
+        total = np.zeros((len(texts), len(self.languages)))
+        weight = np.zeros(len(texts))
+        waiting: list[tuple[np.ndarray, int]] = []
+        places: list[int] = []
         blocks = 0
 
         def flush() -> None:
-            values = self.values([chars for _, chars in waiting])
-            shares = np.exp(4 * (values - values.max(1, keepdims=True)))
-            shares /= shares.sum(1, keepdims=True)
-            for (at, _), value, share in zip(waiting, values, shares, strict=True):
-                best = int(value.argmax())
-                result[at] = self.languages[best], float(share[best])
+            rows, owner = presence(waiting)
+            size = rows.sum(1)
+            at = np.array(places)[owner]
+            np.add.at(total, at, (rows @ self.matrix) * np.sqrt(size)[:, None])
+            np.add.at(weight, at, size)
 
         for at, text in enumerate(texts):
-            chars = characters(text) if text and self.languages else ()
-            if len(chars):
-                waiting.append((at, chars))
-                blocks += -(-len(chars) // BLOCK)
-            if blocks >= _AT_ONCE:
-                flush()
-                waiting, blocks = [], 0
+            for run in _runs(text) if text and self.languages else ():
+                waiting.append(run)
+                places.append(at)
+                blocks += -(-run[1] // BLOCK)
+                if blocks >= _AT_ONCE:
+                    flush()
+                    waiting, places, blocks = [], [], 0
         if waiting:
             flush()
+        result = [(UNKNOWN, 0.0)] * len(texts)
+        for at in np.flatnonzero(weight):
+            value = total[at] / weight[at]
+            share = np.exp(4 * (value - value.max()))
+            best = int(value.argmax())
+            result[at] = self.languages[best], float(share[best] / share.sum())
         return result
 
 
@@ -123,7 +156,7 @@ def fit(texts: list[str], languages: list[str]) -> Model:
     if not pieces:
         return Model([], np.zeros((SLOTS, 0), np.float32))
     some = np.unique(np.linspace(0, len(pieces) - 1, BLOCKS).astype(int))
-    rows = np.vstack([presence([pieces[i]])[0] for i in some])
+    rows = np.vstack([presence([(pieces[i], len(pieces[i]))])[0] for i in some])
     rows /= np.sqrt(rows.sum(1, keepdims=True))
     sides = -np.ones((len(some), len(names)))
     sides[np.arange(len(some)), np.array(labels)[some]] = 1
